@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import sentencepiece_bpe
+from credence.llm import sentencepiece_bpe, token_binary
+from credence.llm.common import scratch_dir
 
 
 def tokenizer(name: str) -> str:
@@ -23,5 +26,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece}
+def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written as Simple-8b files and read back: doc_id, start, n_tokens, ids_crc32."""
+    files = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_binary.write_token_files(table(spark, sf_dir, "documents"), files, tokenizer("byte_bpe_50k.json"), end_id=0)
+    return token_binary.read_token_files(spark, files).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op8_token_binary": op8_token_binary}
 ORACLES: dict[str, str] = {}
