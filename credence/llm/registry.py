@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from credence.llm import sentencepiece_bpe, token_binary
+from credence.llm import sentencepiece_bpe, simhash, token_binary
 from credence.llm.common import scratch_dir
 
 
@@ -33,5 +34,15 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_token_files(spark, files).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op8_token_binary": op8_token_binary}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate class: doc_id, fingerprint, component_id."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op5_simhash": op5_simhash,
+    "op8_token_binary": op8_token_binary,
+}
 ORACLES: dict[str, str] = {}
