@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import sentencepiece_bpe, simhash, token_binary
+from credence.llm import mixing, sentencepiece_bpe, simhash, token_binary
 from credence.llm.common import scratch_dir
 
 
@@ -40,9 +40,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document: doc_id, source, size, source_size, target, taken."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("draws")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_simhash": op5_simhash,
+    "op7_mixing": op7_mixing,
     "op8_token_binary": op8_token_binary,
 }
 ORACLES: dict[str, str] = {}
