@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import mixing, sentencepiece_bpe, simhash, token_binary
+from credence.llm import importance, mixing, sentencepiece_bpe, simhash, token_binary
 from credence.llm.common import scratch_dir
 
 
@@ -45,10 +45,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("draws")
 
 
+def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance weight and whether the resampling keeps it."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_simhash": op5_simhash,
     "op7_mixing": op7_mixing,
     "op8_token_binary": op8_token_binary,
+    "op9_importance": op9_importance,
 }
 ORACLES: dict[str, str] = {}
