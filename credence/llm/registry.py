@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import importance, mixing, sentencepiece_bpe, simhash, token_binary
+from credence.llm import importance, mixing, pii, sentencepiece_bpe, simhash, token_binary
 from credence.llm.common import scratch_dir
 
 
@@ -50,11 +50,17 @@ def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the rules' spans, and all spans."""
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_simhash": op5_simhash,
     "op7_mixing": op7_mixing,
     "op8_token_binary": op8_token_binary,
     "op9_importance": op9_importance,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {}
