@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import importance, mixing, pii, sentencepiece_bpe, simhash, token_binary
+from credence.llm import importance, mixing, pii, sentencepiece_bpe, simhash, token_binary, tree_forest
 from credence.llm.common import scratch_dir
 
 
@@ -55,8 +55,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_tree_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's number of links and its near-duplicate class, within its label."""
+    return tree_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_tree_forest": op4_tree_forest,
     "op5_simhash": op5_simhash,
     "op7_mixing": op7_mixing,
     "op8_token_binary": op8_token_binary,
