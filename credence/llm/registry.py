@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import importance, mixing, pii, sentencepiece_bpe, simhash, token_binary, tree_forest
+from credence.llm import host_rules, importance, licences, mixing, pii, sentencepiece_bpe, simhash, token_binary, tree_forest, warc_fixity
 from credence.llm.common import scratch_dir
 
 
@@ -60,13 +60,36 @@ def op4_tree_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on every document, and the verdict on it by its source's failures."""
+    return host_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's canonical digest and the licence that it is the text of, if any."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit of archives of all pages against a replica with every 97th record damaged."""
+    records = warc_fixity.records(table(spark, sf_dir, "pages"))
+    return warc_fixity.audit(records, warc_fixity.damaged(records, 97))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_warc_fixity": op2_warc_fixity,
+    "op3_host_rules": op3_host_rules,
     "op4_tree_forest": op4_tree_forest,
     "op5_simhash": op5_simhash,
+    "op6_licences": op6_licences,
     "op7_mixing": op7_mixing,
     "op8_token_binary": op8_token_binary,
     "op9_importance": op9_importance,
     "op10_pii": op10_pii,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc_fixity": warc_fixity.ORACLE,
+    "op3_host_rules": host_rules.ORACLE,
+    "op6_licences": licences.ORACLE,
+}
