@@ -62,25 +62,27 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.empty(0, np.uint64), np.zeros(1, np.uint64), np.empty(0, np.uint64)
-    widest = int(COUNTS[0])
-    least = np.zeros((blocks, BLOCK + widest), np.int8)  # narrowest selector that holds an id; beyond a block's end any does
-    narrow = np.zeros(blocks * BLOCK, np.int8)
-    narrow[:n] = NARROWEST[ids.astype(np.int64)] if int(ids.max()) < len(NARROWEST) else selector_of(ids)
-    least[:, :BLOCK] = narrow.reshape(blocks, BLOCK)
-    most = {1: least}  # most[c]: the largest of the c ids from here on, for powers of two
+    wide = BLOCK + int(COUNTS[0])  # blocks lie apart by the longest word, so that words may reach beyond a block's end
+    value = np.zeros((blocks, wide), np.uint64)
+    value[: n // BLOCK, :BLOCK] = ids[: n // BLOCK * BLOCK].reshape(-1, BLOCK)
+    value[-1, : n - (blocks - 1) * BLOCK] = ids[(blocks - 1) * BLOCK :]
+    value = value.ravel()
+    largest = int(ids.max())
+    least = (NARROWEST[value.astype(np.int64)] if largest < len(NARROWEST) else selector_of(value)).reshape(blocks, wide)
+    most = {1: least}  # most[c]: the largest of the c selectors from here on, for powers of two
     chosen = np.full((blocks, BLOCK), ESCAPE, np.int8)
     for k in range(ESCAPE - 1, -1, -1):
         c = int(COUNTS[k])
         half = 1 << (c.bit_length() - 1)
-        if half not in most:
-            below = most[half // 2]
-            most[half] = np.maximum(below[:, : below.shape[1] - half // 2], below[:, half // 2 :])
+        while half not in most:
+            have = max(most)
+            below = most[have]
+            most[2 * have] = np.maximum(below[:, : below.shape[1] - have], below[:, have:])
         whole = np.maximum(most[half][:, :BLOCK], most[half][:, c - half : c - half + BLOCK]) if c > half else most[half][:, :BLOCK]
-        chosen[whole <= k] = k
+        np.copyto(chosen, np.int8(k), where=whole <= k)
     chosen = chosen.ravel()
-    step = COUNTS[chosen]
-    end = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
-    starts, cursor = [], np.arange(blocks) * BLOCK
+    step = COUNTS[chosen].astype(np.int32)
+    starts, cursor = [], np.arange(blocks, dtype=np.int32) * BLOCK
     last = np.minimum(cursor + BLOCK, n)
     while len(cursor):  # one word of every block at a time
         starts.append(cursor)
@@ -88,40 +90,40 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         open_ = cursor < last
         if not open_.all():
             cursor, last = cursor[open_], last[open_]
-    starts = np.sort(np.concatenate(starts))
+    starts = np.sort(np.concatenate(starts)).astype(np.int64)
     selector = chosen[starts]
     words = selector.astype(np.uint64) << np.uint64(60)
+    at = starts + starts // BLOCK * (wide - BLOCK)
     for k in range(ESCAPE):
         if len(rows := np.flatnonzero(selector == k)):
-            place = starts[rows, None] + np.arange(COUNTS[k])
-            value = np.where(place < end[starts[rows], None], ids[np.minimum(place, n - 1)], np.uint64(0))
-            words[rows] |= np.bitwise_or.reduce(value << (np.arange(COUNTS[k]) * WIDTHS[k]).astype(np.uint64), axis=1)
+            here, packed = at[rows], words[rows]
+            for j in range(int(COUNTS[k])):
+                packed |= value[here + j] << np.uint64(j * int(WIDTHS[k]))
+            words[rows] = packed
     rows = np.flatnonzero(selector == ESCAPE)
     words[rows] |= np.arange(len(rows), dtype=np.uint64)
     first = np.searchsorted(starts, np.arange(blocks + 1) * BLOCK).astype(np.uint64)
-    return words, first, ids[starts[rows]]
+    return words, first, value[at[rows]]
 
 
 def unpack(words: np.ndarray, first: np.ndarray, exceptions: np.ndarray, n: int) -> np.ndarray:
     """The ids again; every selector's words are decoded at once."""
-    out = np.zeros(n, np.uint64)
     if not n:
-        return out
+        return np.zeros(0, np.uint64)
+    blocks, wide = len(first) - 1, BLOCK + int(COUNTS[0])
+    out = np.zeros(blocks * wide, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
-    count = COUNTS[selector]
-    before = np.concatenate([[0], np.cumsum(count)])
-    block = np.repeat(np.arange(len(first) - 1), np.diff(first.astype(np.int64)))
-    start = before[:-1] - before[first.astype(np.int64)[block]] + block * BLOCK
-    end = np.minimum((block + 1) * BLOCK, n)
+    before = np.concatenate([[0], np.cumsum(COUNTS[selector])])
+    block = np.repeat(np.arange(blocks), np.diff(first.astype(np.int64)))
+    start = before[:-1] - before[first.astype(np.int64)[block]] + block * wide
     for k in range(ESCAPE):
         if len(rows := np.flatnonzero(selector == k)):
-            place = start[rows, None] + np.arange(COUNTS[k])
-            value = words[rows, None] >> (np.arange(COUNTS[k]) * WIDTHS[k]).astype(np.uint64) & np.uint64((1 << int(WIDTHS[k])) - 1)
-            there = place < end[rows, None]
-            out[place[there]] = value[there]
+            here, packed, mask = start[rows], words[rows], np.uint64((1 << int(WIDTHS[k])) - 1)
+            for j in range(int(COUNTS[k])):
+                out[here + j] = packed >> np.uint64(j * int(WIDTHS[k])) & mask
     rows = np.flatnonzero(selector == ESCAPE)
     out[start[rows]] = exceptions[(words[rows] & np.uint64((1 << 60) - 1)).astype(np.int64)]
-    return out
+    return out.reshape(blocks, wide)[:, :BLOCK].ravel()[:n]
 
 
 def segment(keys: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -188,7 +190,7 @@ class WordEncoder:
         """Ids of words without newlines: one call for all, with newlines between them."""
         if not self.separable:
             return [self._whole(w) for w in words]
-        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0]).tolist()
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0] + [c + 1 for c in cuts], [*cuts, len(ids)])]
@@ -215,21 +217,23 @@ class WordEncoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
-        cut: list[list[list[str]] | None] = []
+        young, seen = self.young, set()
+        cut: list[list[str] | None] = []
         for t in batch:
-            lines = None
+            words = None
             if t and not self.uneven.search(t):
-                lines = [line.replace(" ", "\n ").split("\n") for line in t.split("\n")]
-            cut.append(lines)
-        young = self.young
-        missing = {w for lines in cut if lines for line in lines for w in line if w not in young}
-        self._learn(missing)
+                words = t.replace("\n", "\n\n").replace(" ", "\n ").split("\n")  # an empty one stands for a newline
+                seen.update(words)
+            cut.append(words)
+        young[""] = self.line
+        self._learn(seen.difference(young))
+        known = young.__getitem__
         out = []
-        for t, lines in zip(batch, cut):
-            if lines is None:
+        for t, words in zip(batch, cut):
+            if words is None:
                 out.append((self._whole(t) if t else b"") + self.end)
             else:
-                out.append(self.line.join([b"".join([young[w] for w in line]) for line in lines]) + self.end)
+                out.append(b"".join(map(known, words)) + self.end)
         if len(young) > CACHE_WORDS:
             self.old, self.young = young, {}
         return out
