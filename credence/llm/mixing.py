@@ -33,7 +33,7 @@ from credence.llm.common import bound_batches, exclusive_offsets, materialise, w
 
 WEIGHTS, SHARE, CEILING, SEED = (5, 2, 1), 1.5, 2.0, 7
 #: Least words in a block, most blocks in all, words in a shard, and most quotas that the driver holds.
-BLOCK_WORDS, MOST_BLOCKS, SHARD_WORDS, MOST_CELLS = 64, 1 << 28, 1 << 20, 1 << 20
+BLOCK_WORDS, MOST_BLOCKS, SHARD_WORDS, MOST_CELLS = 64, 1 << 28, 1 << 18, 1 << 20
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, ceiling: float = CEILING) -> list[float]:
@@ -105,14 +105,14 @@ def permuted(i: np.ndarray, n: int, seed: int) -> np.ndarray:
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED, **options) -> DataFrame:
     """Every row with what the mix takes of it.
 
-    (key, source, size, source_size, target, taken, draws); draws has a struct for each
-    time that words of the row are taken: pass, words (from the row's start), shard, and
-    the place that orders the shard.
+    (key, source, size, source_size, target, taken, draws, print); draws has a struct for
+    each time that words of the row are taken: pass, words (from the row's start), shard,
+    and the place of its block in the source's permuted order; print is a hash of the text.
     """
     spark = df.sparkSession
     source_key = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source)))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), source_key.alias("source_key"), word_count(F.col(text)).alias("size"), order.alias("place"))
+    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), source_key.alias("source_key"), word_count(F.col(text)).alias("size"), order.alias("place"), F.xxhash64(text).alias("print"))
     rows = materialise(rows, "mixing")
     totals = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     p = plan(totals, seed=seed, **options)
@@ -120,12 +120,12 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     # One bucket for about 4,096 rows; hashes spread them evenly, also inside a source that has most rows.
     bits = min(40, (rows.count() // 4096).bit_length())
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("place", 1, 10), 16, 10).cast("long"), 40 - bits))
-    placed = exclusive_offsets(rows, "source_key", "bucket", ["place", "key", "size"], "size", "begin")
+    placed = exclusive_offsets(rows, "source_key", "bucket", ["place", "key", "size", "print"], "size", "begin")
     block, sizes, take, blocks, quotas, ends, target = p["block"], p["sizes"], p["take"], p["blocks"], p["quotas"], p["ends"], p["targets"]
 
     def run(batches):
         for batch in batches:
-            keys, names, size, begin = (batch.column(i) for i in range(4))
+            keys, names, size, begin, prints = (batch.column(i) for i in range(5))
             of = np.array([number[s] for s in names.to_pylist()], np.int64)
             size, begin = size.to_numpy(), begin.to_numpy()
             out = [[] for _ in of]
@@ -142,44 +142,45 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
                         for i, w, r, k in zip(some.tolist(), words[words > 0].tolist(), rank.tolist(), shard.tolist()):
                             out[i].append({"pass": turn, "words": w, "shard": k, "place": r})
             yield pa.RecordBatch.from_arrays(
-                [keys, names, pa.array(size), pa.array([sizes[s] for s in of], pa.int64()), pa.array([target[s] for s in of], pa.float64()), pa.array([sum(d["words"] for d in x) for x in out], pa.int64()), pa.array(out, DRAWS)],
-                ["key", "source", "size", "source_size", "target", "taken", "draws"],
+                [keys, names, pa.array(size), pa.array([sizes[s] for s in of], pa.int64()), pa.array([target[s] for s in of], pa.float64()), pa.array([sum(d["words"] for d in x) for x in out], pa.int64()), pa.array(out, DRAWS), prints],
+                ["key", "source", "size", "source_size", "target", "taken", "draws", "print"],
             )
 
     bound_batches(spark, 4096)
-    schema = f"key {dict(df.dtypes)[key]}, source string, size long, source_size long, target double, taken long, draws array<struct<pass:int,words:long,shard:int,place:long>>"
-    return placed.select("key", "source", "size", "begin").mapInArrow(run, schema).withColumnRenamed("key", key)
+    schema = f"key {dict(df.dtypes)[key]}, source string, size long, source_size long, target double, taken long, draws array<struct<pass:int,words:long,shard:int,place:long>>, print long"
+    return placed.select("key", "source", "size", "begin", "print").mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 DRAWS = pa.list_(pa.struct([("pass", pa.int32()), ("words", pa.int64()), ("shard", pa.int32()), ("place", pa.int64())]))
 
 
 def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED, **options) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it, with ``mix_shard`` and ``mix_place`` to order them by.
+    """The rows of ``df``, each as often as the mix takes it, shard by shard, each shard in a seeded order.
 
-    A row at the end of a source's quota keeps its first words alone. Copies of a row
-    that are drawn in several passes are rows of their own.
+    A row at the end of a source's quota keeps its first words alone. Rows drawn in
+    several passes are rows of their own. Rows that are equal in key, text and source
+    share their draws, and the first one's other columns.
     """
-    drawn = mix(df, text, source, key, seed, **options).select(key, F.explode("draws").alias("draw"), "size")
-    drawn = drawn.select(F.col(key).alias("_key"), F.col("draw.words").alias("_words"), F.col("size").alias("_size"), F.col("draw.shard").alias("mix_shard"), F.col("draw.place").alias("mix_place"))
-    # Repeated rows of one key are numbered on neither side, so keys are taken to be unique here.
-    drawn = materialise(drawn, "mixing-draws")
-    joined = df.join(drawn, df[key].eqNullSafe(drawn["_key"]))
+    drawn = mix(df, text, source, key, seed, **options)
+    same = drawn.select(F.col(key).alias("_key"), F.col("source").alias("_source"), F.col("print").alias("_print"), F.col("size").alias("_size"), F.explode("draws").alias("_draw"))
+    same = materialise(same, "mixing-draws")
+    names = df.columns
+    marked = df.withColumn("_text_print", F.xxhash64(text))
+    if not drawn.groupBy(key, "source", "print").count().where("count > 1").isEmpty():
+        marked = marked.dropDuplicates([key, source, "_text_print"])
+    met = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text_print") == F.col("_print")) & F.col(source).eqNullSafe(F.col("_source"))
+    place = F.xxhash64(F.lit(seed), F.col(key), F.col("_draw.pass"))
+    joined = marked.join(same, met).select(*names, F.col("_draw.words").alias("_words"), F.col("_size"), F.col("_draw.shard").alias("_shard"), place.alias("_place"))
+    at = names.index(text)
 
     def cut(batches):
         for batch in batches:
-            out = []
-            for t, w, n in zip(*(batch.column(i).to_pylist() for i in (names.index(text), len(names), len(names) + 1))):
-                out.append(t if w >= n else keep_words(t, w))
-            columns = [pa.array(out, pa.string()) if c == text else batch.column(i) for i, c in enumerate([*names, "_words", "_size", "mix_shard", "mix_place"]) if c not in ("_words", "_size")]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "mix_shard", "mix_place"])
+            given, words, sizes = (batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1))
+            out = pa.array([t if w >= n else keep_words(t, w) for t, w, n in zip(given, words, sizes)], pa.string())
+            yield pa.RecordBatch.from_arrays([out if i == at else batch.column(i) for i in range(len(names))], names)
 
-    names = df.columns
     bound_batches(df.sparkSession)
-    schema = df.select(*names).limit(0).withColumns({"mix_shard": F.lit(0), "mix_place": F.lit(0).cast("long")}).schema
-    partial = joined.select(*names, "_words", "_size", "mix_shard", "mix_place")
-    whole = partial.where("_words >= _size").drop("_words", "_size")
-    return whole.unionByName(partial.where("_words < _size").mapInArrow(cut, schema))
+    return joined.repartition("_shard").sortWithinPartitions("_shard", "_place").mapInArrow(cut, df.select(*names).schema)
 
 
 def keep_words(text: str, n: int) -> str:

@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return sentencepiece_bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

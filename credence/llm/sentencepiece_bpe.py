@@ -22,6 +22,7 @@ import functools
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -233,35 +234,30 @@ def codec(path: str) -> PieceCodec:
 
 @functools.lru_cache(maxsize=2)
 def _parts(path: str) -> Cache:
-    """For a part: the number of its ids, their decimal form, the text they decode to, and the ids."""
+    """For a part: the number of its ids, their decimal form, the text they decode to, and the ids in 4 bytes each."""
     c = codec(path)
 
     def compute(part: str):
         ids = c.part_ids(part)
-        return len(ids), " ".join(map(str, ids)), c.decode(ids, first=False), tuple(ids)
+        return len(ids), " ".join(map(str, ids)), c.decode(ids, first=False), np.array(ids, "<i4").tobytes()
 
     return Cache(compute, CACHE_PARTS)
 
 
 @functools.lru_cache(maxsize=2)
 def _words(path: str) -> Cache:
-    """The first three of these for a word with a space before it."""
+    """The same for a word with a space before it."""
     find, parts = codec(path).parts.findall, _parts(path)
 
     def compute(word: str):
-        n, ids, text = 0, [], []
-        for part in find(SPACE + word):
-            known = parts[part]
-            n += known[0]
-            ids.append(known[1])
-            text.append(known[2])
-        return n, " ".join(ids), "".join(text)
+        known = [parts[part] for part in find(SPACE + word)]
+        return sum([k[0] for k in known]), " ".join([k[1] for k in known]), "".join([k[2] for k in known]), b"".join([k[3] for k in known])
 
     return Cache(compute, CACHE_WORDS)
 
 
 def _coded(path: str, text: str) -> list[tuple]:
-    """(number of ids, decimal ids, decoded text) of the parts of a text, a word each where spaces are single."""
+    """The parts of a text as ``_parts`` has them, a word each where spaces are single."""
     if not text:
         return []
     if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
@@ -271,15 +267,21 @@ def _coded(path: str, text: str) -> list[tuple]:
     return [known[w] for w in text.split(" ")]
 
 
+def _id_lists(path: str, coded: list[list[tuple]]) -> pa.Array:
+    """Lists of ids, the end id last, without an object for each id."""
+    end = np.array([codec(path).end_id], "<i4").tobytes()
+    raw = [b"".join([p[3] for p in parts]) + end for parts in coded]
+    offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids): the ids of every text, the end id last."""
 
     def run(batches):
-        known, end = _parts(path), codec(path).end_id
-        split = codec(path).split
         for batch in batches:
-            ids = [[i for part in split(t) for i in known[part][3]] + [end] for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+            coded = [_coded(path, t) for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists(path, coded)], ["key", "ids"])
 
     bound_batches(df.sparkSession)
     return df.select(key, text).mapInArrow(run, f"key {dict(df.dtypes)[key]}, ids array<int>").withColumnRenamed("key", key)
@@ -298,23 +300,24 @@ def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> D
     return df.select(key, ids).mapInArrow(run, f"key {dict(df.dtypes)[key]}, text string").withColumnRenamed("key", key)
 
 
-def round_trip_digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded in one pass."""
+def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded in one pass; ids too where asked."""
 
     def run(batches):
         end = str(codec(path).end_id)
         for batch in batches:
             counts, ids_hex, text_hex = [], [], []
-            for t in texts(batch.column(1)):
-                parts = _coded(path, t)
+            coded = [_coded(path, t) for t in texts(batch.column(1))]
+            for parts in coded:
                 counts.append(sum([p[0] for p in parts]) + 1)
                 ids_hex.append(hashlib.sha256(" ".join([p[1] for p in parts] + [end]).encode()).hexdigest())
                 text_hex.append(hashlib.sha256("".join([p[2] for p in parts])[1:].encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
-                ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
+            names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns, names = [*columns, _id_lists(path, coded)], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     bound_batches(df.sparkSession)
-    schema = f"key {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"key {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return df.select(key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
