@@ -59,6 +59,7 @@ def _by_function(known: DataFrame, grid: DataFrame, forecaster: Forecaster) -> D
         asked = asked.sort_values("event_start")
         past = known_rows.sort_values("event_start")[["event_start", "event_value"]]
         values = forecaster(past, list(asked["event_start"])) if len(past) else [None] * len(asked)
-        return asked.assign(event_value=pd.Series(values, index=asked.index, dtype="float64"))[["sensor", "event_start", "event_value"]]
+        return asked.assign(sensor=asked["_asked"], event_value=pd.Series(values, index=asked.index, dtype="float64"))[["sensor", "event_start", "event_value"]]
 
-    return known.groupBy("sensor").cogroup(grid.groupBy("sensor")).applyInPandas(run, "sensor string, event_start timestamp, event_value double")
+    grid = grid.select(F.col("sensor").alias("_asked"), "event_start")
+    return known.groupBy("sensor").cogroup(grid.groupBy("_asked")).applyInPandas(run, "sensor string, event_start timestamp, event_value double")

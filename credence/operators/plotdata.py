@@ -55,10 +55,10 @@ def density_points(df: DataFrame, low: float, high: float, points: int = 101, di
         widths = packed.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.size("cdf") - 1, F.lit(1)))))
         a, b = F.get("cdf", F.col("_i") - 1), F.get("cdf", F.col("_i"))
         step = F.lit((high - low) / (points - 1))
-        grid = widths.withColumn("event_value", F.explode(F.sequence(F.lit(0), F.lit(points - 1))) * step + F.lit(low))
+        grid = widths.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("event_value", F.col("_k") * step + F.lit(low))
         return grid.where((F.col("event_value") >= a["v"]) & (F.col("event_value") < b["v"])).select("sensor", "event_start", "belief_time", "source", "event_value", F.try_divide(b["cp"] - a["cp"], b["v"] - a["v"]).alias("density"))
     fitted = packed.withColumn("_n", C.normal(F.col("cdf")))
-    x = F.explode(F.sequence(F.lit(0), F.lit(points - 1))) * F.lit((high - low) / (points - 1)) + F.lit(low)
-    grid = fitted.withColumn("event_value", x)
+    step = F.lit((high - low) / (points - 1))
+    grid = fitted.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("event_value", F.col("_k") * step + F.lit(low))
     z = F.try_divide(F.col("event_value") - F.col("_n.mu"), F.col("_n.sigma"))
     return grid.select("sensor", "event_start", "belief_time", "source", "event_value", F.try_divide(F.exp(-z * z / 2), F.col("_n.sigma") * F.sqrt(2 * F.pi())).alias("density"))
