@@ -56,9 +56,10 @@ class PieceCodec:
         if len(self.byte_of) != 256:
             raise ValueError("a model with byte fallback is asked for")
         self.id_of_byte = {b: i for i, b in self.byte_of.items()}
-        # Merges are made by falling score; of equal ones the shorter piece comes first.
-        ranked = sorted(self.id_of, key=lambda p: (-model.get_score(self.id_of[p]), len(p), self.id_of[p]))
-        self.rank = {p: k for k, p in enumerate(ranked)}
+        # Merges are made by falling score; of equal scores the one further left goes first, so they share a rank.
+        scores = {p: model.get_score(i) for p, i in self.id_of.items()}
+        place = {x: k for k, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.rank = {p: place[x] for p, x in scores.items()}
         self.fits: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, int] = {}
         # Pieces of two characters and more that merges end in, and the next shorter one that each begins with.
@@ -108,9 +109,9 @@ class PieceCodec:
     def compatible(self, left: str, right: str) -> bool:
         """Whether two neighbouring pieces stay as they are when their text is merged anew.
 
-        The merges of both are undone from the latest to the first. Before each of them
-        the pair that meets at the border must not be one that merges earlier; of equal
-        ranks the one further left goes first.
+        The merges of both are undone from the latest to the first; of equal ranks the one
+        further right is the later one. Before each of them the pair that meets at the
+        border must not be one that merges earlier.
         """
         key = left, right
         known = self.fits.get(key)
