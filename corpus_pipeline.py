@@ -17,7 +17,8 @@ from credence.llm.registry import table, tokenizer
 
 def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The documents whose doc_id is among the keys."""
-    return docs.join(keys.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    keys = keys.select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_kept_id"]), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import bound_batches, exclusive_offsets, materialise, word_count
+from credence.llm.common import WORD, bound_batches, exclusive_offsets, materialise, word_count
 
 WEIGHTS, SHARE, CEILING, SEED = (5, 2, 1), 1.5, 2.0, 7
 #: Least words in a block, most blocks in all, words in a shard, and most quotas that the driver holds.
@@ -164,14 +164,15 @@ def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: s
     drawn = mix(df, text, source, key, seed, **options)
     same = drawn.select(F.col(key).alias("_key"), F.col("source").alias("_source"), F.col("print").alias("_print"), F.col("size").alias("_size"), F.explode("draws").alias("_draw"))
     same = materialise(same, "mixing-draws")
-    names = df.columns
-    marked = df.withColumn("_text_print", F.xxhash64(text))
+    names = [f"c{i}" for i in range(len(df.columns))]  # no name of the input meets one of these below
+    key_, text_, source_ = (names[df.columns.index(c)] for c in (key, text, source))
+    marked = df.toDF(*names).withColumn("_text_print", F.xxhash64(text_))
     if not drawn.groupBy(key, "source", "print").count().where("count > 1").isEmpty():
-        marked = marked.dropDuplicates([key, source, "_text_print"])
-    met = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text_print") == F.col("_print")) & F.col(source).eqNullSafe(F.col("_source"))
-    place = F.xxhash64(F.lit(seed), F.col(key), F.col("_draw.pass"))
+        marked = marked.dropDuplicates([key_, source_, "_text_print"])
+    met = F.col(key_).eqNullSafe(F.col("_key")) & (F.col("_text_print") == F.col("_print")) & F.col(source_).eqNullSafe(F.col("_source"))
+    place = F.xxhash64(F.lit(seed), F.col(key_), F.col("_draw.pass"))
     joined = marked.join(same, met).select(*names, F.col("_draw.words").alias("_words"), F.col("_size"), F.col("_draw.shard").alias("_shard"), place.alias("_place"))
-    at = names.index(text)
+    at = names.index(text_)
 
     def cut(batches):
         for batch in batches:
@@ -180,7 +181,8 @@ def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: s
             yield pa.RecordBatch.from_arrays([out if i == at else batch.column(i) for i in range(len(names))], names)
 
     bound_batches(df.sparkSession)
-    return joined.repartition("_shard").sortWithinPartitions("_shard", "_place").mapInArrow(cut, df.select(*names).schema)
+    ordered = joined.repartition("_shard").sortWithinPartitions("_shard", "_place")
+    return ordered.mapInArrow(cut, marked.select(*names).schema).toDF(*df.columns)
 
 
 def keep_words(text: str, n: int) -> str:
@@ -194,3 +196,24 @@ def keep_words(text: str, n: int) -> str:
                 return raw[:i].decode()
         inside = not space
     return text
+
+
+#: The same rows as ``mix`` gives, by DuckDB, without the draws.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+                  md5(concat_ws(':', '{SEED}', doc_id::VARCHAR)) AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2.0::DOUBLE * source_size AS cap,
+             (1.5::DOUBLE * sum(source_size) OVER ())::DOUBLE AS total FROM n),
+o AS (SELECT *, total - coalesce(sum(cap) OVER k, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER k, 0) AS weights FROM w
+      WINDOW k AS (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, rest * w / weights > cap AS whole FROM o),
+t AS (SELECT source, source_size, CASE WHEN whole THEN cap ELSE (total - coalesce(sum(cap) FILTER (whole) OVER (), 0)) * w
+             / (sum(w) FILTER (NOT whole) OVER ())::DOUBLE END::DOUBLE AS target FROM f),
+q AS (SELECT *, least(floor(target + 0.5), floor(2.0 * source_size))::BIGINT AS take FROM t),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d)
+SELECT doc_id, p.source, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE take // source_size * size + greatest(0, least(size, take % source_size - before)) END::BIGINT AS taken
+FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source
+"""

@@ -42,7 +42,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document: doc_id, source, size, source_size, target, taken."""
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("draws")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("draws", "print")
 
 
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +91,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_warc_fixity": warc_fixity.ORACLE,
     "op3_host_rules": host_rules.ORACLE,
+    "op4_tree_forest": tree_forest.ORACLE,
     "op6_licences": licences.ORACLE,
+    "op7_mixing": mixing.ORACLE,
 }
