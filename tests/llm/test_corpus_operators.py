@@ -38,7 +38,8 @@ def test_components(spark, seed):
     rng = random.Random(seed)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 201 + i) for i in range(30)] + [(5, 5)]
     found = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    expected = united({k for p in pairs if p[0] != p[1] for k in p}, pairs)
+    real = [p for p in pairs if p[0] != p[1]]
+    expected = united({k for p in real for k in p}, real)
     assert found == expected
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
