@@ -22,7 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beliefs of three sources about each day's value of each event type; one row each."""
-    t = table(spark, sf_dir, "events")
+    return beliefs_of(table(spark, sf_dir, "events"))
+
+
+def beliefs_of(t: DataFrame) -> DataFrame:
+    """The same of any frame, or stream, of events."""
     beliefs = t.select(
         F.col("event_type").alias("sensor"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("event_start"), F.col("ts").cast("timestamp").alias("belief_time"),
         F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("source"), F.lit(0.5).alias("cumulative_probability"), F.col("value").alias("event_value"),
