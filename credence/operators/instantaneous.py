@@ -41,8 +41,8 @@ def resample_instantaneous(df: DataFrame, resolution: timedelta, method: str = "
     offsets = F.broadcast(df.select("sensor", offset(F.col("event_start"), zone).alias("_offset")).distinct())  # a zone has a few
     shifted = df.join(offsets, "sensor").withColumn("_local", F.unix_micros("event_start") + F.col("_offset"))
     keys = [*series, "_offset"]
-    origin = F.floor(F.min("_local").over(Window.partitionBy(*keys)) / F.lit(DAY)) * F.lit(DAY)
-    shifted = shifted.withColumn("_origin", origin).withColumn("_bin", F.floor((F.col("_local") - F.col("_origin")) / F.lit(step)))
+    origins = shifted.groupBy(*keys).agg((F.floor(F.min("_local") / F.lit(DAY)) * F.lit(DAY)).alias("_origin"))
+    shifted = shifted.join(origins, keys).withColumn("_bin", F.floor((F.col("_local") - F.col("_origin")) / F.lit(step)))
     at = F.timestamp_micros((F.col("_origin") + F.col("_bin") * F.lit(step) - F.col("_offset")).cast("long"))
     extra = [c for c in ("belief_time", "belief_horizon", "cumulative_probability") if c in df.columns]
     if method in AGGREGATES:

@@ -56,11 +56,24 @@ def event_time_window(df: DataFrame, resolution: timedelta) -> DataFrame:
     return df.agg(F.min("event_start").alias("first"), (F.max("event_start") + F.lit(resolution)).alias("last"))
 
 
+def with_previous_start(df: DataFrame, days: int = 30) -> DataFrame:
+    """(sensor, event_start, previous): each distinct event start and the one before it.
+
+    Starts are compared within spans of days, and over the borders of spans through one
+    row for each, so that a sensor of very many events doesn't meet in a task.
+    """
+    span = F.floor(F.unix_micros("event_start") / F.lit(days * 86_400_000_000))
+    starts = df.select("sensor", "event_start").distinct().withColumn("_span", span)
+    ends = starts.groupBy("sensor", "_span").agg(F.max("event_start").alias("_last"))
+    ends = ends.select("sensor", "_span", F.lag("_last").over(Window.partitionBy("sensor").orderBy("_span")).alias("_before"))
+    inside = starts.withColumn("_inside", F.lag("event_start").over(Window.partitionBy("sensor", "_span").orderBy("event_start")))
+    return inside.join(ends, ["sensor", "_span"]).select("sensor", "event_start", F.coalesce("_inside", "_before").alias("previous"))
+
+
 def spacings(df: DataFrame) -> DataFrame:
-    """(sensor, spacing, n): how often neighbouring event starts lie how many seconds apart."""
-    starts = df.select("sensor", "event_start").distinct()
-    gap = F.col("event_start") - F.lag("event_start").over(Window.partitionBy("sensor").orderBy("event_start"))
-    return starts.select("sensor", gap.alias("gap")).where("gap is not null").groupBy("sensor", "gap").agg(F.count("*").alias("n"))
+    """(sensor, gap, n): how often neighbouring event starts lie how far apart."""
+    gaps = with_previous_start(df).select("sensor", (F.col("event_start") - F.col("previous")).alias("gap"))
+    return gaps.where("gap is not null").groupBy("sensor", "gap").agg(F.count("*").alias("n"))
 
 
 def event_frequency(df: DataFrame, resolution: timedelta) -> DataFrame:
@@ -78,9 +91,7 @@ def most_common_event_frequency(df: DataFrame, resolution: timedelta) -> DataFra
 
 def irregular_starts(df: DataFrame) -> DataFrame:
     """(event_start, gap) of events whose distance from the one before is no multiple of the most common one."""
-    starts = df.select("sensor", "event_start").distinct()
-    us = F.unix_micros("event_start")
-    gaps = starts.withColumn("gap", us - F.lag(us).over(Window.partitionBy("sensor").orderBy("event_start"))).where("gap is not null")
+    gaps = with_previous_start(df).withColumn("gap", F.unix_micros("event_start") - F.unix_micros("previous")).where("gap is not null")
     usual = gaps.groupBy("sensor", "gap").agg(F.count("*").alias("n")).groupBy("sensor").agg(F.max_by("gap", F.struct(F.col("n").alias("n"), (-F.col("gap")).alias("g"))).alias("usual"))
     return gaps.join(F.broadcast(usual), "sensor").where(F.pmod("gap", "usual") != 0).select("sensor", "event_start", "gap", "usual")
 
@@ -106,6 +117,6 @@ def respect_event_resolution(df: DataFrame, parent: timedelta, resolution: timed
     start = F.timestamp_micros((F.floor(F.unix_micros("event_start") / F.lit(int(parent.total_seconds() * 1e6))) * F.lit(int(parent.total_seconds() * 1e6))).cast("long"))
     k = int(parent / resolution)
     keys = ["sensor", "belief_time", "source", "cumulative_probability"]
-    whole = df.select(*keys, start.alias("_p")).distinct().withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    whole = df.select(*keys, start.alias("_p")).distinct().withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
     whole = whole.withColumn("event_start", F.timestamp_micros((F.unix_micros("_p") + F.col("_k") * F.lit(int(resolution.total_seconds() * 1e6))).cast("long"))).drop("_p", "_k")
     return whole.join(df, [*keys, "event_start"], "left").select(*df.columns)

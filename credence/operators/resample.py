@@ -7,7 +7,6 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from credence.durations import micros
 from credence.functions import cdf as C
@@ -60,13 +59,14 @@ def upsample(df: DataFrame, old: timedelta, new: timedelta, method: str = "mean"
         raise ValueError(f"unsupported resampling method {method!r}")
     ratio = micros(old) / micros(new)
     steps, size = max(math.ceil(ratio), 1), micros(new)
-    first = Window.partitionBy(*SERIES)
-    rows = df.withColumn("_at", _micros(F.col("event_start"))).withColumn("_from", F.min("_at").over(first)).withColumn("_end", F.max("_at").over(first) + F.lit(micros(old)))
-    rows = rows.where(F.pmod(F.col("_at") - F.col("_from"), F.lit(size)) == 0)
-    rows = rows.withColumn("_next", F.lead("_at").over(Window.partitionBy(*SERIES).orderBy("_at")))
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    start = F.col("_at") + F.col("_k") * F.lit(size)
-    rows = rows.withColumn("_start", start).where((F.col("_next").isNull() | (F.col("_start") < F.col("_next"))) & (F.col("_start") < F.col("_end")))
+    at = _micros(F.col("event_start"))
+    ends = df.groupBy(*SERIES).agg(F.min(at).alias("_from"), (F.max(at) + F.lit(micros(old))).alias("_end"))
+    rows = df.withColumn("_at", at).join(ends, SERIES).where(F.pmod(F.col("_at") - F.col("_from"), F.lit(size)) == 0)
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))))
+    rows = rows.withColumn("_start", F.col("_at") + F.col("_k") * F.lit(size)).where("_start < _end")
+    # Where events overlap, the one that starts last counts; a key is a series and a start, so no long series meets in a task.
+    kept = F.max_by(F.struct("belief_time", "cumulative_probability", "event_value"), "_at").alias("_row")
+    rows = rows.groupBy(*SERIES, "_start").agg(kept).select(*SERIES, "_start", "_row.*")
     if not keep_nulls:
         rows = rows.where("event_value is not null")
     value = F.col("event_value") / F.lit(ratio) if method == "sum" else F.col("event_value")
@@ -104,7 +104,7 @@ def split_beliefs(df: DataFrame, old: timedelta, new: timedelta) -> DataFrame:
     """Probabilistic beliefs to finer events: each row repeats; nulls stay null."""
     if micros(old) % micros(new):
         raise NotImplementedError("the old resolution must be a multiple of the new one")
-    k = F.explode(F.sequence(F.lit(0), F.lit(micros(old) // micros(new) - 1))).alias("_k")
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(micros(old) // micros(new) - 1).cast("long"))).alias("_k")
     start = _moment(_micros(F.col("event_start")) + F.col("_k") * F.lit(micros(new)))
     return df.select("*", k).withColumn("event_start", start).drop("_k")
 

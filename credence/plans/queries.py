@@ -303,7 +303,7 @@ def downsample_sum(spark, sf_dir):
 
 def _upsampled(value: str, minutes: int, steps: int) -> str:
     size = minutes * 60_000_000
-    return with_("h", f", o AS (SELECT *, min(epoch_us(event_start)) OVER (PARTITION BY sensor) AS origin, max(epoch_us(event_start)) OVER (PARTITION BY sensor) + 3600000000 AS fin FROM h), n AS (SELECT *, epoch_us(event_start) AS at, lead(epoch_us(event_start)) OVER (PARTITION BY sensor ORDER BY event_start) AS nxt FROM o WHERE (epoch_us(event_start) - origin) % {size} = 0), k AS (SELECT n.*, at + i * {size} AS s FROM n, range({steps}) AS r(i)) SELECT sensor, {T.format('make_timestamp(s)', 'event_start')}, {T.format(BELIEF, 'belief_time')}, 'S' AS source, 0.5::DOUBLE AS cumulative_probability, round({value}, 6) AS event_value FROM k WHERE s < fin AND (nxt IS NULL OR s < nxt)").replace(") ,", "),")
+    return with_("h", f", o AS (SELECT *, min(epoch_us(event_start)) OVER (PARTITION BY sensor) AS origin, max(epoch_us(event_start)) OVER (PARTITION BY sensor) + 3600000000 AS fin FROM h), n AS (SELECT *, epoch_us(event_start) AS own, lead(epoch_us(event_start)) OVER (PARTITION BY sensor ORDER BY event_start) AS nxt FROM o WHERE (epoch_us(event_start) - origin) % {size} = 0), k AS (SELECT n.*, own + i * {size} AS s FROM n, range({steps}) AS r(i)) SELECT sensor, {T.format('make_timestamp(s)', 'event_start')}, {T.format(BELIEF, 'belief_time')}, 'S' AS source, 0.5::DOUBLE AS cumulative_probability, round({value}, 6) AS event_value FROM k WHERE s < fin AND (nxt IS NULL OR s < nxt)").replace(") ,", "),")
 
 
 @query(_upsampled("event_value", 15, 4))
