@@ -446,3 +446,29 @@ def test_streamed_latest_beliefs(spark, sixteen, tmp_path):
     q = latest_beliefs(stream).writeStream.outputMode("update").format("memory").queryName("latest").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert spark.table("latest").count() == 8 and spark.table("latest").where("belief_time = '2000-01-01 01:00'").count() == 8
+
+
+def test_chart_specifications(sixteen):
+    from credence.operators import charts
+
+    spec = charts.time_series(sixteen.df, reference_source="Source A", show_accuracy=True)
+    assert len(spec["data"]["values"]) == 16 and len(spec["layer"]) == 4
+    one = sixteen.df.where("source = 'Source A'")
+    assert charts.ridgeline_fixed_viewpoint(one, datetime(2000, 1, 2, tzinfo=UTC), (0, 500))["data"]["values"]
+    assert charts.ridgeline_belief_history(one, datetime(2000, 1, 3, 9, tzinfo=UTC), (0, 500), "uniform")["encoding"]["row"]["field"] == "belief_time"
+    assert charts.horizon_axis(sixteen.horizons)[0] == "minutes" or charts.horizon_axis(sixteen.horizons)[0] == "hours"
+    with pytest.raises(ValueError):
+        charts.ridgeline_fixed_viewpoint(sixteen.df, datetime(2000, 1, 2, tzinfo=UTC), (0, 500))
+    with pytest.raises(ValueError):
+        charts.time_series(sixteen.df, show_accuracy=True)
+
+
+def test_sub_events_and_levels(spark):
+    start = datetime(2020, 1, 1, tzinfo=UTC)
+    f = BeliefFrame.of(spark, [(start, start, "a", 0.5, 1.0), (start + timedelta(minutes=30), start, "a", 0.5, 2.0)], SLOT)
+    whole = lineage.respect_event_resolution(f.df, H, timedelta(minutes=15))
+    assert whole.count() == 4 and whole.where("event_value is null").count() == 2
+    asked = spark.createDataFrame([(start,), (start + 9 * H,)], "event_start timestamp")
+    assert sorted(r["event_value"] is None for r in lineage.replace_level(f.df, "event_start", asked).collect()) == [False, True]
+    assert lineage.time_grid(spark, start, start + H, timedelta(minutes=15)).count() == 4
+    assert lineage.unique(f.df, "source").count() == 1 and lineage.unique_beliefs_per_event_per_source(f.df)
