@@ -117,8 +117,8 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     totals = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     p = plan(totals, seed=seed, **options)
     number = {s: i for i, s in enumerate(p["sources"])}
-    # One bucket for about 4,096 rows; hashes spread them evenly, also inside a source that has most rows.
-    bits = min(40, (rows.count() // 4096).bit_length())
+    # One bucket for about 1,024 rows; hashes spread them evenly, also inside a source that has most rows.
+    bits = min(40, (rows.count() // 1024).bit_length())
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("place", 1, 10), 16, 10).cast("long"), 40 - bits))
     placed = exclusive_offsets(rows, "source_key", "bucket", ["place", "key", "size", "print"], "size", "begin")
     block, sizes, take, blocks, quotas, ends, target = p["block"], p["sizes"], p["take"], p["blocks"], p["quotas"], p["ends"], p["targets"]
