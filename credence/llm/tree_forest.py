@@ -7,10 +7,10 @@
    and again; those near a threshold go to both sides. Thresholds come from a bounded
    sample of a node's vectors; every vector is routed. Nodes that still have more than
    ``LEAF`` vectors are split anew in the next round.
-3. Vectors that share a leaf are compared by exact cosine in double precision. A leaf
-   that cannot be split is compared in blocks, each pair of blocks in a task of its
-   own, so no leaf is cut short. Classes whose members' links differ are compared
-   member by member, in blocks too.
+3. Vectors that share a leaf are compared by exact cosine in double precision; each
+   leaf gives counts and connections, not pairs. A leaf that cannot be split is compared
+   in blocks, each pair of blocks in a task of its own, so no leaf is cut short. Classes
+   whose members' links differ are compared member by member, in blocks too.
 4. Links of classes are united; counts of links are sums over classes.
 
 Only vectors of equal, non-null label and equal length meet. Defined results: vectors
@@ -94,7 +94,8 @@ def fold(reps: DataFrame, turn: int, cosine: float) -> DataFrame:
     coded = materialise(reps.select("rid", "label", "dim", "vec", "radius").mapInArrow(code, "rid long, label string, dim int, vec binary, radius double, code long"), "forest-codes")
     sizes = coded.groupBy("label", "dim", "code").agg(F.count("*").alias("n")).where("n > 1")
     chunk = F.pmod(F.xxhash64("rid", F.lit(turn)), F.ceil(F.col("n") / F.lit(LEAF)).cast("long"))
-    return coded.join(sizes, ["label", "dim", "code"]).withColumn("chunk", chunk).groupBy("label", "dim", "code", "chunk").applyInPandas(absorb, "rid long, into long, way double")
+    cell = F.concat_ws("/", "label", "dim", "code", "chunk")  # one column, so that a group's chunks go to tasks of their own
+    return coded.join(sizes, ["label", "dim", "code"]).withColumn("chunk", chunk).withColumn("cell", cell).groupBy("cell").applyInPandas(absorb, "rid long, into long, way double")
 
 
 def grow(x: np.ndarray, seed: list[int], least: int) -> list[tuple]:
@@ -197,34 +198,64 @@ def seed_of(name: str, turn: int) -> list[int]:
     return [SEED, turn, *name.encode()]
 
 
+def roots_of(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric relation, the first row that it reaches."""
+    label = np.arange(len(linked))
+    while True:
+        least = np.where(linked, label[None, :], len(label)).min(axis=1)
+        new = np.minimum(label, least)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
 def compare(leaves: DataFrame, cosine: float) -> DataFrame:
-    """(a, b, sure): classes that link, all members with all (sure) or perhaps some."""
+    """(a, b, links, sure): what the leaves' comparisons find, in rows that grow with the classes and not with their pairs.
+
+    Sure rows: class a links as a whole with ``links`` members of other classes, and is
+    connected with class b. Other rows: some members of a and b may link. Classes that
+    share several leaves are counted in the first of these alone.
+    """
     bound = float(np.arccos(cosine))
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rid")
         x, radius, rid, chunk = matrix(list(pdf["vec"])), pdf["radius"].to_numpy(), pdf["rid"].to_numpy(), pdf["chunk"].to_numpy()
-        single = (pdf["n"].to_numpy() == 1)
+        n, single, here = pdf["n"].to_numpy(), pdf["n"].to_numpy() == 1, int(pdf["leaf"].iloc[0])
         cross = pdf["one"].iloc[0] != pdf["two"].iloc[0]
-        out = []
+        known: dict[int, int] = {}
+        at = [(i, known.setdefault(int(h), len(known))) for i, hs in enumerate(pdf["leaves"]) for h in hs if h < here]
+        before = np.zeros((len(x), len(known)), np.float32)  # which earlier leaves each class is in
+        if at:
+            before[tuple(np.array(at).T)] = 1
+        links, linked, unsure = np.zeros(len(x), np.int64), np.zeros((len(x), len(x)), bool), []
         for i in range(0, len(x), 512):
             cos = x[i : i + 512] @ x.T
             near, reach = angles(cos), radius[i : i + 512, None] + radius[None, :]
             both = single[i : i + 512, None] & single[None, :]
-            sure = np.where(both, cos >= cosine, near + reach <= bound - 1e-7)
-            maybe = ~both & ~sure & (near - reach <= bound + 1e-7)
-            asked = rid[i : i + 512, None] < rid[None, :]
+            asked = rid[i : i + 512, None] != rid[None, :]
             if cross:
                 asked &= chunk[i : i + 512, None] != chunk[None, :]
-            for what, found in ((True, sure & asked), (False, maybe & asked)):
-                a, b = np.nonzero(found)
-                out.append(pd.DataFrame({"a": rid[i + a], "b": rid[b], "sure": what}))
-        return pd.concat(out)
-
+            sure = asked & np.where(both, cos >= cosine, near + reach <= bound - 1e-7)
+            maybe = asked & ~both & ~sure & (near - reach <= bound + 1e-7) & (rid[i : i + 512, None] < rid[None, :])
+            first = before[i : i + 512] @ before.T == 0
+            links[i : i + 512] = (sure & first) @ n
+            linked[i : i + 512] = sure
+            a, b = np.nonzero(maybe)
+            unsure.append(pd.DataFrame({"a": rid[i + a], "b": rid[b], "links": 0, "sure": False}))
+        some = np.flatnonzero(linked.any(axis=1))
+        found = pd.DataFrame({"a": rid[some], "b": rid[roots_of(linked)[some]], "links": links[some], "sure": True})
+        return pd.concat([found, *unsure])
+
+    leaf = leaves.withColumn("leaf", F.xxhash64("node"))
+    of = leaf.groupBy("rid").agg(F.collect_set("leaf").alias("leaves"))  # a few for each tree
     sizes = leaves.groupBy("node").agg(F.ceil(F.count("*") / F.lit(2 * LEAF)).cast("int").alias("chunks"))
-    rows = leaves.join(sizes, "node").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
+    rows = leaf.join(of, "rid").join(sizes, "node").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("node", "rid", "vec", "n", "radius", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
-    return rows.groupBy("node", "one", "two").applyInPandas(pairs, "a long, b long, sure boolean").distinct()
+    rows = rows.select("node", "leaf", "leaves", "rid", "vec", "n", "radius", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
+    cell = F.concat_ws("#", "node", "one", "two")  # one column, so that a leaf's blocks go to tasks of their own
+    return rows.withColumn("cell", cell).groupBy("cell").applyInPandas(block, "a long, b long, links long, sure boolean")
 
 
 def by_member(unsure: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
@@ -266,12 +297,11 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
         members = materialise(members.join(moved.select(F.col("rid").alias("class"), "into"), "class", "left").select("rid", F.coalesce("into", "class").alias("class")), "forest-members")
     pairs = materialise(compare(plant(reps, trees), cosine), "forest-pairs")
     sure = pairs.where("sure")
-    single = materialise(by_member(pairs.where("not sure"), members.join(there.select("rid", "vec"), "rid"), cosine), "forest-single")
+    single = materialise(by_member(pairs.where("not sure").select("a", "b").distinct(), members.join(there.select("rid", "vec"), "rid"), cosine), "forest-single")
     counted = reps.select("rid", "n")
-    both = sure.select("a", "b").union(sure.select("b", "a"))
-    of_class = both.join(counted.withColumnRenamed("rid", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("far"))
+    of_class = sure.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("far"))
     of_row = single.groupBy("rid").agg(F.sum("links").alias("own"))
-    roots = connected_components(sure.select("a", "b").union(single.select("a", "b")).distinct(), "forest-links")
+    roots = connected_components(sure.where("a != b").select("a", "b").union(single.select("a", "b")).distinct(), "forest-links")
     classes = counted.withColumnRenamed("rid", "class").join(of_class, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
     classes = classes.select("class", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"), F.coalesce("component", "class").alias("root"))
     placed = members.join(classes, "class").join(rows.select("rid", "key"), "rid")
