@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import importance, mixing, pii, sentencepiece_bpe, simhash
+from credence.llm import importance, mixing, near_copies, pii, sentencepiece_bpe
 from credence.llm.common import materialise
 from credence.llm.registry import table, tokenizer
 
@@ -21,6 +21,11 @@ def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_kept_id"]), "left_semi")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with columns c0, c1 and so on, and a number for each row, the same whenever they are read."""
+    return materialise(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling keeps."""
     found = importance.resample(docs, table(spark, sf_dir, "labels"))
@@ -28,9 +33,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    return _kept(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more): the one with the smallest doc_id."""
+    rows = _numbered(docs)
+    key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    found = near_copies.near_copies(rows, text, "row").join(rows.select("row", key), "row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull(), key, "row"))["row"].alias("row"))
+    return rows.join(first, "row", "left_semi").drop("row").toDF(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from credence.llm import common, importance, mixing, simhash, tree_forest, warc_fixity
+from credence.llm import common, importance, mixing, near_copies, simhash, tree_forest, warc_fixity
 from credence.llm.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -349,3 +349,66 @@ def test_pipeline_on_odd_documents(spark, odd_documents):
     for name, stage in corpus_pipeline.STAGES:
         empty = common.materialise(stage(spark, empty, SF), "test-none")
     assert empty.isEmpty()
+
+
+# near copies -----------------------------------------------------------------------
+
+
+def plain_copies(data, width=5, similarity=0.8):
+    """Least number of each row's component, by comparing all pairs."""
+    sets = []
+    for _, text in data:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    alike = lambda a, b: a == b or len(a & b) / len(a | b) >= similarity
+    pairs = [(data[i][0], data[j][0]) for i in range(len(data)) for j in range(i) if alike(sets[i], sets[j])]
+    return united([k for k, _ in data], pairs)
+
+
+def changed(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"new{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def planted():
+    """Copies with 1 to 5 of 200 words changed, a large group of them, chains of copies of copies, and texts that share a passage."""
+    rng, data = random.Random(4), []
+    bases = [[f"w{rng.randrange(3000)}" for _ in range(200)] for _ in range(30)]
+    for b in bases:
+        data += [changed(rng, b, n) for n in (0, 0, 1, 2, 3, 4, 5)]
+    data += [changed(rng, bases[0], rng.randrange(1, 7)) for _ in range(80)]
+    for _ in range(5):
+        words = bases[1]
+        for _ in range(6):
+            words = changed(rng, words, 3).split()
+            data.append(" ".join(words))
+    data += [" ".join(bases[2][:100] + [f"v{rng.randrange(3000)}" for _ in range(rng.randrange(10, 80))]) for _ in range(40)]
+    data += [None, "", " \t", "one two", "ONE  two", "one two three"]
+    return list(enumerate(data))
+
+
+@pytest.mark.parametrize(("rounds", "few"), [(6, 4), (6, 0), (0, 4)])
+def test_near_copies(spark, monkeypatch, sample, rounds, few):
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "FEW", few)
+    for data in (planted(), [(r["doc_id"], r["text"]) for r in sample.collect()]):
+        found = near_copies.near_copies(spark.createDataFrame(data, "row long, text string"))
+        assert Counter(tuple(r) for r in found.collect()) == Counter(plain_copies(data).items())
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    """Also where keys repeat or are null: the rows of a hot key are told apart."""
+    data = planted()
+    rows = [(None if i % 5 == 0 else 7 if i % 3 == 0 else i, text) for i, text in data]
+    out = [tuple(r) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
+    groups = {}
+    for i, c in plain_copies(data).items():
+        groups.setdefault(c, []).append(rows[i])
+    assert len(out) == len(groups)
+    left = Counter(out)
+    for members in groups.values():
+        least = min((k for k, _ in members if k is not None), default=None)
+        assert sum(n for r, n in left.items() if r in set(members)) == 1
+        assert any(left[m] for m in members if m[0] == least)
