@@ -15,21 +15,20 @@ from credence.llm.common import materialise
 from credence.llm.registry import table, tokenizer
 
 
-def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents whose doc_id is among the keys."""
-    keys = keys.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_kept_id"]), "left_semi")
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     """The documents with columns c0, c1 and so on, and a number for each row, the same whenever they are read."""
     return materialise(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling keeps."""
-    found = importance.resample(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, found.where("kept"))
+    """Rows that the importance resampling keeps; it decides by doc_id and text, so rows that are equal in both share a verdict."""
+    key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("print", F.sha2(F.coalesce(text, F.lit("")), 256))
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", key)
+    found = importance.resample(rows, labels, text, key, row="print").where("kept")
+    kept = found.select(F.col(key).alias("_key"), F.col("print").alias("_print")).distinct()
+    met = (F.col("print") == F.col("_print")) & F.col(key).eqNullSafe(F.col("_key"))
+    return rows.join(kept, met, "left_semi").drop("print").toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

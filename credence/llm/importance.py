@@ -75,19 +75,20 @@ def fit(df: DataFrame, good: set, text: str = "text", key: str = "doc_id", n: in
     return share(target) - share(raw)
 
 
-def weigh(df: DataFrame, ratio: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_grams, log_weight) of every row."""
+def weigh(df: DataFrame, ratio: np.ndarray, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """(key, n_grams, log_weight) of every row, and the column ``row`` where one is named."""
     n = len(ratio)
+    more = [row] if row else []
 
     def run(batches):
         for batch in batches:
             found = [buckets(t, n) for t in raw_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(b) for b in found], pa.int64()), pa.array([float(ratio[b].sum()) for b in found], pa.float64())], ["key", "n_grams", "log_weight"]
-            )
+            counts = [pa.array([len(b) for b in found], pa.int64()), pa.array([float(ratio[b].sum()) for b in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *batch.columns[2:]], ["key", "n_grams", "log_weight", *more])
 
     bound_batches(df.sparkSession)
-    return df.select(key, text).mapInArrow(run, f"key {dict(df.dtypes)[key]}, n_grams long, log_weight double").withColumnRenamed("key", key)
+    schema = ", ".join([f"key {dict(df.dtypes)[key]}, n_grams long, log_weight double", *(f"{c} {dict(df.dtypes)[c]}" for c in more)])
+    return df.select(key, text, *more).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def best_cut(good: list[float], poor: list[float], cost: float = GOOD_COST) -> float:
@@ -136,13 +137,13 @@ def labelled_sample(labels: DataFrame, key: str = "doc_id", good: str = "quality
     return [r[key] for r in rows if r[good] == 1], [r[key] for r in rows if r[good] != 1]
 
 
-def resample(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """(key, n_grams, log_weight, gumbel_key, kept) of every row."""
+def resample(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", seed: int = SEED, buckets: int = BUCKETS, row: str | None = None) -> DataFrame:
+    """(key, n_grams, log_weight, gumbel_key, kept) of every row, and the column ``row`` where one is named."""
     spark = df.sparkSession
     good, poor = labelled_sample(labels, key)
     ratio = fit(df, set(good), text, key, buckets)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double") + 0.5) / float(1 << 53)
-    scored = weigh(df, ratio, text, key).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
+    scored = weigh(df, ratio, text, key, row).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
     scored = materialise(scored, "importance")
     known = spark.createDataFrame([(k, 1) for k in good] + [(k, 0) for k in poor], f"{key} {dict(df.dtypes)[key]}, good int")
     seen = scored.join(known, key).select("log_weight", "good").limit(4 * MOST_LABELLED).collect()

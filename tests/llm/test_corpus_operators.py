@@ -412,3 +412,17 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
         least = min((k for k, _ in members if k is not None), default=None)
         assert sum(n for r, n in left.items() if r in set(members)) == 1
         assert any(left[m] for m in members if m[0] == least)
+
+
+def test_quality_decides_by_row(spark, sample):
+    """Rows that share a key with a kept one, or have none, are kept for their own weight alone."""
+    hot = sample.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, 1001).when(F.col("doc_id") % 7 != 1, F.col("doc_id")).cast("long"))
+    hot = common.materialise(hot.unionByName(hot.where("doc_id = 1001")), "test-hot")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    weights = importance.resample(hot, labels, row=None).where("kept").groupBy("doc_id", F.round("log_weight", 6).alias("w")).count()
+    expected = Counter({(r["doc_id"], r["w"]): r["count"] for r in weights.collect()})
+    out = corpus_pipeline.quality(spark, hot, SF)
+    ratio = importance.fit(hot, set(importance.labelled_sample(labels)[0]))
+    found = Counter((r["doc_id"], r["w"]) for r in importance.weigh(out, ratio).select("doc_id", F.round("log_weight", 6).alias("w")).collect())
+    assert found == expected and 0 < sum(found.values()) < hot.count()
+    assert 0 < sum(n for (k, _), n in found.items() if k == 1001) < hot.where("doc_id = 1001").count()
