@@ -14,7 +14,8 @@ that need over 60 bits go to the exceptions, with their place there in an escape
 
 Segments are rows of a table (pid, seq, n_ids, payload) that Spark's own writer makes,
 so any file system that Spark reaches holds them. Rows come in ascending key order over
-(pid, seq); ties of keys come in the order of their texts, null keys first.
+(pid, seq); ties of keys come in the order of their texts' hashes, null keys first. Rows
+of one key spread over as many partitions as they need.
 
 Defined results: null and empty texts have the end id alone; texts may have any length;
 repeated rows stay; an empty table gives an empty one; other columns aren't read.
@@ -165,7 +166,8 @@ class WordEncoder:
     The tokenizer's pattern begins a new word at every single space, and a single
     newline is a word of its own; neither joins what stands on its two sides. So texts
     are cut there, and letters are cut from marks that follow them. Texts with two
-    characters of white space in a row, or with some at an end, are encoded whole.
+    characters of white space in a row, or with some at an end, are encoded whole, and
+    so are texts that hold the string of an added token, which is one id there.
     """
 
     uneven = re.compile(r"\s\s|^\s|\s\Z")
@@ -176,7 +178,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
@@ -221,7 +223,7 @@ class WordEncoder:
         cut: list[list[str] | None] = []
         for t in batch:
             words = None
-            if t and not self.uneven.search(t):
+            if t and not self.uneven.search(t) and not any(a in t for a in self.added):
                 words = t.replace("\n", "\n\n").replace(" ", "\n ").split("\n")  # an empty one stands for a newline
                 seen.update(words)
             cut.append(words)
@@ -264,7 +266,9 @@ def write_token_files(df: DataFrame, out: str, path: str, end_id: int = 0, text:
             seq += 1
 
     bound_batches(df.sparkSession)
-    ordered = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    # Rows of one key, even equal ones, are dealt by hash and place; those places stay the same when a task runs again.
+    ordered = rows.repartitionByRange("key", "hash", "row").sortWithinPartitions("key", "hash", "text").select("key", "text")
     ordered.mapInArrow(run, "pid int, seq long, n_ids long, payload binary").write.parquet(out)
 
 

@@ -82,15 +82,17 @@ def test_packing_round_trip(n, top):
 
 def test_word_encoder_equals_the_library():
     library, own = Tokenizer.from_file(BYTES), token_binary.WordEncoder(BYTES, 0)
-    library.encode_special_tokens = True
-    batch = [*texts(3000, 1), "<|endoftext|> x", "a.\nB, c's", "x\n\ny", " lead", "trail "]
+    rng = random.Random(8)
+    special = ["".join(rng.choices(["<|endoftext|>", "<|", "endoftext", "|>", " ", "a", "b.", "\n", "the"], k=8)) for _ in range(1000)]
+    batch = [*texts(3000, 1), *special, "<|endoftext|> x", "<|endoftext|>", "a <|endoftext|> b", "a.\nB, c's", "x\n\ny", " lead", "trail "]
     expected = [np.array([*e.ids, 0], "<u4").tobytes() for e in library.encode_batch(batch, add_special_tokens=False)]
     assert own.encode(batch) == expected and own.encode(batch) == expected
 
 
 def test_token_files(spark, odd_documents, sample, tmp_path):
     library = Tokenizer.from_file(BYTES)
-    for i, df in enumerate((odd_documents, sample, sample.limit(0))):
+    marked = spark.createDataFrame([(3, "one <|endoftext|> two"), (1, "<|endoftext|>"), (2, None)], "doc_id long, text string")
+    for i, df in enumerate((odd_documents, marked, sample, sample.limit(0))):
         token_binary.write_token_files(df, f"{tmp_path}/{i}", BYTES)
         found = sorted((r["start"], r["key"], r["n_tokens"], r["ids_crc32"]) for r in token_binary.read_token_files(spark, f"{tmp_path}/{i}").collect())
         start, expected = 0, []
@@ -101,6 +103,21 @@ def test_token_files(spark, odd_documents, sample, tmp_path):
         assert found == expected
 
 
+def test_rows_of_one_key_spread(spark, tmp_path):
+    """A key with most rows, half of them equal, is not one partition; every row is there once."""
+    df = spark.range(400).selectExpr("CAST(CASE WHEN id % 4 > 0 THEN NULL ELSE id END AS long) AS doc_id", "CASE WHEN id % 2 = 0 THEN 'the same' ELSE concat('row ', id) END AS text").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are put together again
+    try:
+        token_binary.write_token_files(df, f"{tmp_path}/hot", BYTES)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = sorted((r["start"], r["key"], r["n_tokens"]) for r in token_binary.read_token_files(spark, f"{tmp_path}/hot").collect())
+    assert len(rows) == 400 and [k for _, k, _ in rows] == [None] * 300 + list(range(0, 400, 4))
+    assert all(a[0] + a[2] == b[0] for a, b in zip(rows, rows[1:]))
+    sizes = [r["n_ids"] for r in spark.read.parquet(f"{tmp_path}/hot").groupBy("pid").agg(F.sum("n_ids").alias("n_ids")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
+
+
 # 3 -------------------------------------------------------------------------------
 
 
