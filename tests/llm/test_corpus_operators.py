@@ -294,6 +294,67 @@ def test_fixity_finds_what_differs(spark):
     assert more == {"ok": 690, "extra": 10}
 
 
+def plain_audit(master, replica):
+    """How many records of each (key, url) have which status, from the multisets of their bytes."""
+    one, two = Counter(master), Counter(replica)
+    out = Counter()
+    for key, url in {(k, u) for k, u, _ in [*one, *two]}:
+        here = Counter({p: n for (k, u, p), n in one.items() if (k, u) == (key, url)})
+        there = Counter({p: n for (k, u, p), n in two.items() if (k, u) == (key, url)})
+        lost, new = (here - there).total(), (there - here).total()
+        pairs = min(lost, new)
+        out += Counter({(key, "ok"): (here & there).total(), (key, "corrupt"): pairs, (key, "missing"): lost - pairs, (key, "extra"): new - pairs})
+    return out
+
+
+def test_fixity_against_brute_force(spark):
+    """Damage, loss, insertion and longer records in the middle, also among repeated rows: each is one finding."""
+    rng = random.Random(9)
+    pages = [(rng.choice([None, 5, *range(300)]), rng.choice(["u", "v", None]), rng.choice(["", "a", "bé", "c" * 50])) for _ in range(500)]
+    master = warc_fixity.records(spark.createDataFrame(pages, "page_id long, url string, html string"), span=64)
+    rows = [tuple(r) for r in master.collect()]
+
+    def harm(row):
+        archive, key, url, payload = row
+        kind = rng.randrange(12)
+        payload = bytes(payload)
+        return {0: [], 1: [row, row], 2: [(archive, key, url, payload + b"!")], 3: [(archive, key, url, payload[:-9])], 4: [row, (archive, key, url, b"new")]}.get(kind, [row])
+
+    replica = [x for row in rows for x in harm(row)]
+    got = warc_fixity.audit(master, spark.createDataFrame(replica, "archive long, key long, url string, payload binary")).collect()
+    plain = lambda rows: [(k, u, bytes(p)) for _, k, u, p in rows]
+    assert Counter((r["page_id"], r["status"]) for r in got) == plain_audit(plain(rows), plain(replica))
+    for archive in {r["archive"] for r in got}:  # the master's records lie end to end
+        lie = sorted((r["place"], r["begin"], r["length"]) for r in got if r["archive"] == archive and r["status"] != "extra")
+        assert [p for p, _, _ in lie] == list(range(len(lie))) and all(a[1] + a[2] == b[1] for a, b in zip(lie, lie[1:]))
+
+
+@pytest.mark.parametrize("change", ["lost", "shorter", "added"])
+def test_one_change_is_one_finding(spark, change):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(300)], "page_id long, url string, html string")
+    master = warc_fixity.records(pages)
+    replica = {
+        "lost": master.where("key != 100"),
+        "shorter": master.withColumn("payload", F.when(F.col("key") == 100, F.expr("substring(payload, 1, 30)")).otherwise(F.col("payload"))),
+        "added": master.union(master.where("key = 100").selectExpr("archive", "key", "'other' AS url", "payload")),
+    }[change]
+    found = Counter(r["status"] for r in warc_fixity.audit(master, replica).collect())
+    assert found == {"lost": Counter(ok=299, missing=1), "shorter": Counter(ok=299, corrupt=1), "added": Counter(ok=300, extra=1)}[change]
+
+
+def test_warc_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i % 200, f"http://h/{i}", f"<p>{'x' * (i % 7)}\r\n\r\né{i}</p>") for i in range(300)] + [(None, None, None)], "page_id long, url string, html string")
+    master = warc_fixity.records(pages, span=64)
+    warc_fixity.write_warc(master, f"{tmp_path}/warc")
+    back = warc_fixity.read_warc(spark, f"{tmp_path}/warc")
+    plain = lambda df: Counter((r["archive"], r["key"], r["url"], bytes(r["payload"])) for r in df.collect())
+    assert plain(back) == plain(master)
+    assert {r["status"] for r in warc_fixity.audit(master, back).collect()} == {"ok"}
+    head, message = plain(master).most_common(1)[0][0][3].split(b"\r\n\r\n", 1)
+    fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+    assert {b"WARC-Type", b"WARC-Record-ID", b"WARC-Date", b"Content-Length"} <= set(fields) and int(fields[b"Content-Length"]) == len(message) - 4
+
+
 def test_fixity_of_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "x"), (2, "u", ""), (2, "u", ""), (3, "u", "é" * 5000), (-5, "u", "y")], "page_id long, url string, html string").selectExpr("*", "1 AS archive", "2 AS place", "'z' AS payload")
     master = warc_fixity.records(pages)
