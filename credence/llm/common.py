@@ -133,15 +133,26 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
-def exclusive_offsets(df: DataFrame, group: str, bucket: str, order: list[str], size: str, out: str) -> DataFrame:
+def exclusive_offsets(df: DataFrame, group: str, bucket: str, order: list[str], size: str, out: str, bits: int = 0) -> DataFrame:
     """Adds ``out``: the sum of ``size`` over the rows of the group that come before a row.
 
-    Rows come by ``bucket``, then by ``order``. Two levels keep every task's share
-    bounded: sums inside a bucket, and sums over one row for each bucket.
+    Rows come by ``bucket``, then by ``order``. Sums inside a bucket and sums over one row
+    for each bucket keep every task's share bounded; where buckets are numbers of more
+    than ten ``bits``, their sums are made in the same way, a thousand buckets at a time.
     """
     inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(group, bucket).agg(F.sum(size).alias("_all"))
-    totals = totals.select(group, bucket, F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_base"))
+    if bits > 10:
+        coarse = totals.withColumn(f"_wide{bits}", F.shiftright(bucket, 10))
+        totals = exclusive_offsets(coarse, group, f"_wide{bits}", [bucket], "_all", "_sum", bits - 10).select(group, bucket, F.col("_sum").alias("_base"))
+    else:
+        before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(group, bucket, F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_base"))
     local = df.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     return local.join(totals, [group, bucket]).withColumn(out, (F.col("_base") + F.col("_in")).cast("long")).drop("_base", "_in")
+
+
+def buckets_of(digest: Column, rows: int, each: int = 1024) -> tuple[Column, int]:
+    """A number for about so many rows each, from the first digits of a hexadecimal digest, and its bits; it rises with the digest."""
+    bits = min(40, (rows // each).bit_length())
+    return F.shiftright(F.conv(F.substring(digest, 1, 10), 16, 10).cast("long"), 40 - bits), bits

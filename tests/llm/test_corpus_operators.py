@@ -190,40 +190,131 @@ def test_quotas_split_exactly():
     assert (mixing.split_quotas(quotas, 7) == by_shard).all()
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
-def test_permutation(n):
-    assert sorted(mixing.permuted(np.arange(n), n, 3).tolist()) == list(range(n))
-
-
-def test_mix(spark, odd_documents, sample):
+def test_targets_of_many_sources():
+    rng = random.Random(12)
+    sizes = [rng.choice([0, 1, 5, 1000, rng.randrange(10**6)]) for _ in range(100_000)]
+    weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    got = mixing.targets(sizes, weights)
+    assert sum(got) == pytest.approx(1.5 * sum(sizes)) and all(t <= 2 * n for t, n in zip(got, sizes))
+    below = [t / w for t, w, n in zip(got, weights, sizes) if t < 2 * n]
+    assert max(below) == pytest.approx(min(below)) and all(t / w <= max(below) * (1 + 1e-9) for t, w in zip(got, weights))
+    p = mixing.plan([(str(i), n) for i, n in enumerate(sizes)], shard_words=1 << 22)
+    assert p["shards"] == -(-sum(p["take"]) // (1 << 22)) > 1000
+
+
+def test_nodes_beyond_the_generator_are_halved_in_proportion():
+    have = np.array([6 * 10**9, 10**9 + 1, 7])
+    mid, left = mixing.halved(have, 0, 8, 1)
+    assert mid == 4 and left.sum() == have.sum() // 2 and (abs(left - have / 2) <= 1).all()
+
+
+def test_the_top_of_the_tree_and_the_rest_agree(monkeypatch):
+    quotas = np.array([100, 37, 0, 1, 900])
+    of = np.flatnonzero(quotas)
+    dense, again = mixing.split_quotas(quotas, 64), np.zeros((64, 5), np.int64)
+    first = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(dense, axis=0)])
+    for low, high, *node in mixing.leaves_of(0, 64, of, quotas[of], np.zeros(4, np.int64), mixing.SEED, 40):
+        for shard, _, some, have, start in mixing.leaves_of(low, high, *node, mixing.SEED):
+            again[shard, some] = have
+            assert (first[shard, some] == start).all()
+    assert (again == dense).all()
+
+
+def plain_mix(df, block, shard_words, seed=mixing.SEED):
+    """Words of each (shard, source), and what is taken of each (key, text), from blocks in the order of their digests."""
+    from hashlib import md5
+
+    digest = lambda *parts: md5(":".join(map(str, parts)).encode()).hexdigest()
+    docs = {}
+    for r in df.collect():
+        text = r["text"] or ""
+        words = len([w for w in _split(text.replace(" ", "\t")) if w])
+        place = digest(seed, *([] if r["doc_id"] is None else [r["doc_id"]]), md5(text.encode()).hexdigest())
+        docs.setdefault(r["source"], []).append((place, r["doc_id"], text, words))
+    p = mixing.plan([(s, sum(d[3] for d in rows)) for s, rows in docs.items()], block_words=block, shard_words=shard_words)
+    drawn, quotas = [], []
+    for s, size, take in zip(p["sources"], p["sizes"], p["take"]):
+        mine, turn = [], 0
+        while take > 0:
+            name = "" if s is None else f"={s}"
+            for b in sorted(range(-(-size // block)), key=lambda b: digest(seed, name, turn, b)):
+                keep = min(block, size - b * block, take)
+                if keep > 0:
+                    mine.append((b, keep))
+                    take -= keep
+            turn += 1
+        drawn.append(mine)
+        quotas.append(len(mine))
+    ends = np.cumsum(mixing.split_quotas(np.array(quotas), p["shards"], seed), axis=0)
+    by_shard, taken = Counter(), Counter()
+    for i, (s, mine) in enumerate(zip(p["sources"], drawn)):
+        stream = [(d[1], d[2]) for d in sorted(docs[s]) for _ in range(d[3])] if all(d[1] is not None for d in docs[s]) else [(d[1], d[2]) for d in sorted(docs[s], key=lambda d: d[0]) for _ in range(d[3])]
+        for place, (b, keep) in enumerate(mine):
+            by_shard[(int(np.searchsorted(ends[:, i], place, side="right")), s)] += keep
+            taken.update(stream[b * block : b * block + keep])
+    return by_shard, taken, p
+
+
+@pytest.mark.parametrize(("block", "shard_words"), [(64, 2000), (4096, 8000)])
+def test_mix(spark, odd_documents, sample, block, shard_words):
+    """Words by shard and source, and of each document, equal what the blocks' order and the tree give."""
+    options = {"block_words": block, "shard_words": shard_words}
     for df in (sample, odd_documents):
-        got = mixing.mix(df, shard_words=2000).collect()
+        got = mixing.mix(df, **options).collect()
+        by_shard, taken, p = plain_mix(df, block, shard_words)
         assert len(got) == df.count()
-        taken, target, size = Counter(), {}, {}
+        found = Counter()
         for r in got:
             assert r["taken"] <= 2 * r["size"] and sum(d["words"] for d in r["draws"]) == r["taken"]
-            taken[r["source"]] += r["taken"]
-            target[r["source"]], size[r["source"]] = r["target"], r["source_size"]
-        assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
-        assert sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
-        again = mixing.mix(df.repartition(3), shard_words=2000)
-        key = lambda rows: sorted((str(r["doc_id"]), r["taken"]) for r in rows)
-        assert key(again.collect()) == key(got)
+            found.update({(d["shard"], r["source"]): d["words"] for d in r["draws"]} if len({d["shard"] for d in r["draws"]}) == len(r["draws"]) else {})
+            if len({d["shard"] for d in r["draws"]}) != len(r["draws"]):
+                for d in r["draws"]:
+                    found[(d["shard"], r["source"])] += d["words"]
+        assert found == by_shard
+        all_of = Counter()
+        for r in got:
+            all_of[(r["doc_id"], r["size"])] += r["taken"]
+        expected = Counter()
+        for (key, text), n in taken.items():
+            expected[(key, len([w for w in _split(text.replace(" ", "\t")) if w]))] += n
+        assert +all_of == +expected
+        words = Counter()
+        for r in got:
+            words[r["source"]] += r["taken"]
+        assert words == Counter({s: t for s, t in zip(p["sources"], p["take"]) if t}) and all(abs(t - g) <= 0.5 for t, g in zip(p["take"], p["targets"]))
+        again = mixing.mix(df.repartition(3), **options)
+        plain = lambda rows: Counter((r["doc_id"], r["taken"], tuple(tuple(d) for d in r["draws"])) for r in rows)
+        assert plain(again.collect()) == plain(got)
     assert mixing.mix(sample.limit(0)).isEmpty()
 
 
-def test_mixed_rows(odd_documents, sample):
-    for df in (sample, odd_documents):
-        out = mixing.mixed_rows(df, shard_words=2000)
+@pytest.mark.parametrize("block", [64, 4096])
+def test_mixed_rows(odd_documents, sample, block):
+    for df in (sample, odd_documents, odd_documents.withColumn("n", F.monotonically_increasing_id())):
+        out = mixing.mixed_rows(df, block_words=block, shard_words=2000)
         assert out.columns == df.columns
-        words = lambda d: {r[0]: r[1] for r in d.groupBy("source").agg(F.sum(common.word_count(F.col("text")))).collect()}
+        words = lambda d: Counter({(r[0], r[1]): r[2] for r in d.groupBy("doc_id", "source").agg(F.sum(common.word_count(F.col("text")))).collect()})
         expected = Counter()
-        for r in mixing.mix(df, shard_words=2000).collect():
-            expected[r["source"]] += r["taken"]
-        got = words(out)
-        assert {s: n for s, n in expected.items() if n} == got
+        for r in mixing.mix(df, block_words=block, shard_words=2000).collect():
+            expected[(r["doc_id"], r["source"])] += r["taken"]
+        assert +expected == +words(out)
+    odd = mixing.mixed_rows(odd_documents.withColumn("n", F.monotonically_increasing_id()), block_words=block)
+    assert odd.where("doc_id = 6").select("n").distinct().count() == 2  # rows that differ elsewhere are told apart
     assert mixing.mixed_rows(sample.limit(0)).isEmpty()
-    assert mixing.keep_words(" a  b\tc ", 2) == " a  b" and mixing.keep_words("a", 5) == "a"
+
+
+def test_parts_of_a_text():
+    text = " a  b\tcé d\n "
+    assert mixing.part(text, 0, 2) == " a  b" and mixing.part(text, 2, 2) == "cé d\n " and mixing.part(text, 1, 1) == "b"
+
+
+def test_a_large_source_is_summed_in_levels(spark):
+    rows = spark.range(3000).selectExpr("'g' AS g", "id % 37 * 64 + id % 5 AS bucket", "id", "id % 11 AS size")
+    found = {r["id"]: r["off"] for r in common.exclusive_offsets(rows, "g", "bucket", ["id"], "size", "off", 12).collect()}
+    total = 0
+    for r in sorted(rows.collect(), key=lambda r: (r["bucket"], r["id"])):
+        assert found[r["id"]] == total
+        total += r["size"]
 
 
 # 9 -------------------------------------------------------------------------------
