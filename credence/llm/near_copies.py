@@ -1,15 +1,17 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of a threshold or more.
+"""Exact similarity of texts that share a key: a Jaccard similarity of word shingles of a threshold or more.
 
-Equal words meet by digest. Of every distinct text, bands of minima under random
-permutations are taken (MinHash); texts that share a band are candidates, and only exact
-Jaccard similarity of their shingles' 64-bit hashes links them. A pair at the threshold
-shares none of 32 bands of 4 with probability (1 - 0.8^4)^32, or 5e-8.
+Equal words meet by digest. ``simhash.similar_texts`` gives keys that similar texts share:
+the class of their fingerprint, and bands of minima of their shingles under random
+permutations. Texts that share a key are candidates, and only exact Jaccard similarity of
+their shingles' 64-bit hashes links them. A pair at the threshold shares none of 40 bands
+of 6 with probability (1 - 0.8^6)^40, or 5e-6; one of similarity 0.3 meets with 0.03.
 
-All pairs of a band's group would grow with its square. So a group's members are compared
-with one of them first, over some rounds with other leaders; what is linked by then
-needs no more comparing, and the pairs left over in groups of several components are all
-compared in the end. Groups of texts that share bands but are less similar than the
-threshold do stay quadratic.
+All pairs of a key's group would grow with its square. So a group's members are compared
+with one of them first, over some rounds with other leaders; what is linked by then needs
+no more comparing. Groups of up to ``SMALL`` texts that are left in several components
+are compared pair by pair. Larger ones are parted by a second band (a pair at the
+threshold shares fewer than two with probability 8e-5), and led again; only texts that
+share two bands, and are still not linked, are compared pair by pair whatever their number.
 
 Defined results: null, empty and wordless texts are copies of each other; a text of fewer
 words than a shingle has its whole sequence for one; texts may have any length; an empty
@@ -19,6 +21,7 @@ table gives an empty one; other columns aren't read.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,9 @@ from pyspark.sql import functions as F
 from credence.llm.common import bound_batches, connected_components, materialise, raw_texts, release
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, MINIMA = 32, 4
-#: Rounds of leaders at most, and open pairs for each open row below which all are compared.
-ROUNDS, FEW = 6, 4
+BANDS, MINIMA = 40, 6
+#: Rounds of leaders, and texts in a group up to which those not linked by then are compared in pairs.
+ROUNDS, SMALL = 3, 64
 #: Shingles that are permuted at a time, and bits that mark candidates.
 SLICE, MARKS = 1 << 10, 1 << 22
 
@@ -68,22 +71,23 @@ def _words(raw: bytes) -> list[bytes]:
     return raw.lower().split()  # of bytes: A-Z alone are lowered, and white space is ASCII's
 
 
-def sketches(df: DataFrame, text: str, key: str, width: int = SHINGLE) -> DataFrame:
-    """(node, digest, n, bands) of every row: digest of its words, number and bands of its shingles."""
+def sketches(df: DataFrame, text: str, key: str, simhash_of: Callable[[list[bytes], int], int], width: int = SHINGLE) -> DataFrame:
+    """(node, digest, n, fp, bands) of every row: digest of its words; number, fingerprint and bands of its shingles."""
 
     def run(batches):
         for batch in batches:
-            digest, n, found = [], [], []
+            digest, n, prints, found = [], [], [], []
             for raw in raw_texts(batch.column(1)):
                 words = _words(raw)
                 hashes = shingles(words, width)
                 digest.append(xxhash.xxh128_digest(b" ".join(words)))
                 n.append(len(hashes))
+                prints.append(simhash_of(words, width))
                 found.append(bands(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["node", "digest", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(prints, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "digest", "n", "fp", "bands"])
 
     bound_batches(df.sparkSession)
-    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "node long, digest binary, n int, bands array<long>")
+    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "node long, digest binary, n int, fp long, bands array<long>")
 
 
 def marks(keys: DataFrame, bits: int = MARKS) -> np.ndarray:
@@ -121,47 +125,70 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(both / (F.size("_a") + F.size("_b") - both) >= F.lit(similarity)).select("a", "b")
 
 
-def near_copies(df: DataFrame, text: str = "text", key: str = "row", width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, component_id) of every row; component_id is the smallest key reachable by similar texts.
+def open_groups(met: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(band, node, n, label) of the groups whose members are in several components yet; written."""
+    placed = met.withColumn("label", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    several = placed.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select("band")
+    return materialise(placed.join(several, "band"), "copies-open")
 
-    ``key`` is a whole number, another one for each row, and the same whenever ``df`` is read.
-    """
-    drawn = materialise(sketches(df, text, key, width), "copies-sketches")
-    heads = drawn.groupBy("digest").agg(F.min("node").alias("head"))
-    nodes = drawn.join(heads.select(F.col("head").alias("node")), "node", "left_semi")
-    met = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = met.groupBy("band").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).where("_low != _high").select("band")
-    met = materialise(met.join(shared, "band"), "copies-bands")
+
+def led(still: DataFrame, turn: int) -> DataFrame:
+    """Each member beside its group's leader, another one in each turn and the same in all groups that it leads."""
+    leaders = still.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "label", "n")).alias("_first"))
+    return still.join(leaders.select("band", F.col("_first.node").alias("_node"), F.col("_first.label").alias("_label"), F.col("_first.n").alias("_n")), "band")
+
+
+def paired(still: DataFrame) -> DataFrame:
+    """All pairs of each group's members."""
+    others = still.select("band", F.col("node").alias("_node"), F.col("label").alias("_label"), F.col("n").alias("_n"))
+    return still.join(others, "band").where("node < _node")
+
+
+def parted(still: DataFrame, bands_of: DataFrame) -> DataFrame:
+    """(band, node, n): the members of each group by a second band."""
+    each = still.select("band", "node", "n").join(bands_of.select("node", "bands"), "node").withColumn("_other", F.explode("bands")).where("_other != band")
+    keyed = each.select(F.xxhash64(F.least("band", "_other"), F.greatest("band", "_other")).alias("band"), "node", "n").distinct()
+    shared = keyed.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1").select("band")
+    return materialise(keyed.join(shared, "band"), "copies-bands")
+
+
+def linked(df: DataFrame, drawn: DataFrame, met: DataFrame, text: str, key: str, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame | None:
+    """(node, component) of rows whose texts are similar to another's; ``met`` (band, node, n) has the keys that they share."""
     sets = materialise(shingle_sets(df, met.select("node"), text, key, width), "copies-sets")
-    edges, roots = None, None
-    for i in range(ROUNDS + 1):
-        placed = met.withColumn("label", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        several = placed.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select("band")
-        still = materialise(placed.join(several, "band"), "copies-open")
-        parts = still.groupBy("band", "label").agg(F.count("*").cast("double").alias("n"))
-        groups = parts.groupBy("band").agg(F.sum("n").alias("rows"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        rows, left = groups.agg(F.sum("rows"), F.sum("pairs")).first()
-        if not rows:
-            release(still)
-            break
-        every = i == ROUNDS or left <= FEW * rows
-        if every:
-            others = still.select("band", F.col("node").alias("_node"), F.col("label").alias("_label"), F.col("n").alias("_n"))
-            pairs = still.join(others, "band").where("node < _node")
-        else:
-            leaders = still.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(i), "node"), "node", "label", "n")).alias("_first"))
-            leaders = leaders.select("band", F.col("_first.node").alias("_node"), F.col("_first.label").alias("_label"), F.col("_first.n").alias("_n"))
-            pairs = still.join(leaders, "band")
+    roots: DataFrame | None = None
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal roots
         pairs = pairs.where("label != _label").where(F.least("n", "_n") / F.greatest("n", "_n") >= F.lit(similarity))
         pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        new = materialise(similar(pairs, sets, similarity), "copies-edges")
-        release(still)
-        edges = new if edges is None else edges.union(new)
+        edges = similar(pairs, sets, similarity)
+        before = roots
+        if before is not None:
+            edges = edges.union(before.where("node != component").select("node", "component"))
         roots = materialise(connected_components(edges, "copies"), "copies-roots")
-        if every:
+        if before is not None:
+            release(before)
+
+    for level in range(2):
+        for turn in range(ROUNDS):
+            still = open_groups(met, roots)
+            if still.isEmpty():
+                break
+            compare(led(still, ROUNDS * level + turn))
+            release(still)
+        still = open_groups(met, roots)
+        if still.isEmpty():
             break
+        sizes = still.groupBy("band").agg(F.count("*").alias("_size"))
+        few = still.join(sizes.where(F.col("_size") <= SMALL).select("band"), "band", "left_semi")
+        if level == 0:
+            compare(paired(few))
+            rest = parted(open_groups(still.join(sizes.where(F.col("_size") > SMALL).select("band"), "band", "left_semi").select("band", "node", "n"), roots), drawn)
+            release(met)
+            met = rest
+        else:
+            compare(paired(still))
+        release(still)
     release(met)
     release(sets)
-    rooted = heads if roots is None else heads.join(roots.withColumnRenamed("node", "head"), "head", "left")
-    rooted = rooted.select("digest", F.col("head").alias("component_id") if roots is None else F.coalesce("component", "head").alias("component_id"))
-    return drawn.join(rooted, "digest").select(F.col("node").alias(key), "component_id")
+    return roots

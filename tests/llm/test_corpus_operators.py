@@ -484,8 +484,8 @@ def test_pipeline(spark):
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
         if name == "near_dedup":
-            classes = simhash.near_duplicates(before).collect()
-            assert sorted(r["doc_id"] for r in docs.collect()) == sorted({r["component_id"] for r in classes})
+            groups = plain_copies([(r["doc_id"], r["text"]) for r in before.collect()])
+            assert sorted(r["doc_id"] for r in docs.collect()) == sorted(set(groups.values()))
         if name == "pii":
             assert docs.where(F.col("text").rlike(r"[a-z0-9]@mail\d?\.example")).isEmpty() and docs.count() == before.count()
     assert names == ["quality", "near_dedup", "pii", "mixing", "tokens"] and start.count() > 0
@@ -541,13 +541,14 @@ def planted():
     return list(enumerate(data))
 
 
-@pytest.mark.parametrize(("rounds", "few"), [(6, 4), (6, 0), (0, 4)])
-def test_near_copies(spark, monkeypatch, sample, rounds, few):
+@pytest.mark.parametrize(("rounds", "small"), [(3, 64), (1, 2)])
+def test_similar_texts(spark, monkeypatch, sample, rounds, small):
     monkeypatch.setattr(near_copies, "ROUNDS", rounds)
-    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "SMALL", small)
     for data in (planted(), [(r["doc_id"], r["text"]) for r in sample.collect()]):
-        found = near_copies.near_copies(spark.createDataFrame(data, "row long, text string"))
+        found = simhash.similar_texts(spark.createDataFrame(data, "row long, text string"))
         assert Counter(tuple(r) for r in found.collect()) == Counter(plain_copies(data).items())
+    assert simhash.similar_texts(spark.createDataFrame([], "row long, text string")).isEmpty()
 
 
 def test_near_dedup_keeps_one_row_of_each_group(spark):
