@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import importance, mixing, near_copies, pii, sentencepiece_bpe
+from credence.llm import importance, mixing, pii, sentencepiece_bpe, simhash
 from credence.llm.common import materialise
 from credence.llm.registry import table, tokenizer
 
@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more): the one with the smallest doc_id."""
     rows = _numbered(docs)
     key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
-    found = near_copies.near_copies(rows, text, "row").join(rows.select("row", key), "row")
+    found = simhash.similar_texts(rows, text, "row").join(rows.select("row", key), "row")
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull(), key, "row"))["row"].alias("row"))
     return rows.join(first, "row", "left_semi").drop("row").toDF(*docs.columns)
 
