@@ -156,7 +156,7 @@ class BeliefFrame:
     def accuracy(self, t=None, reference_source=None, lite=False) -> DataFrame:
         """By every horizon where t is None; else as of a moment, or at a horizon."""
         if t is None:
-            return scoring.accuracy_by_horizon(self.horizons, source=reference_source)
+            return scoring.accuracy_by_horizon(self.horizons, source=reference_source, probabilistic=self.probabilistic, lite=lite)
         if isinstance(t, datetime):
             return self.fixed_viewpoint_accuracy(t, reference_source, lite)
         return self.rolling_viewpoint_accuracy(t, reference_source, lite)

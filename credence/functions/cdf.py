@@ -45,6 +45,16 @@ def mean_uniform(cdf: Column) -> Column:
     return F.when(n == 1, first["v"]).otherwise(first["cp"] * first["v"] + inner + (1 - last["cp"]) * last["v"])
 
 
+def mean_discrete(cdf: Column) -> Column:
+    """The mean of the values themselves; the highest one takes the probability that is left."""
+    return F.aggregate(masses(complete(cdf)), F.lit(0.0), lambda total, m: total + (m["hi"] - m["lo"]) * m["v"])
+
+
+def mean(cdf: Column, distribution: str = "uniform") -> Column:
+    """The mean of a belief read as "uniform", "discrete" or "normal" (through its first two points)."""
+    return {"uniform": mean_uniform, "discrete": mean_discrete, "normal": lambda c: normal(c)["mu"]}[distribution](cdf)
+
+
 def cp_at_uniform(cdf: Column, value: Column) -> Column:
     """The cumulative probability of a value, interpolated between points."""
     n = F.size(cdf)

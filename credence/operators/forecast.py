@@ -37,8 +37,8 @@ def form_beliefs(df: DataFrame, sensor: Sensor, resolution: timedelta, belief_ti
         raise NotImplementedError("the beliefs to forecast from must be deterministic")
     if seen["beliefs"] != seen["events"]:
         raise NotImplementedError("the beliefs to forecast from must be one for each event")
-    grid = known.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.lit(resolution))).alias("event_start")).where(F.col("event_start") < F.lit(end).cast("timestamp"))
-    grid = grid.crossJoin(F.broadcast(df.select("sensor").distinct()))
+    starts = F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.lit(resolution))
+    grid = df.select("sensor").distinct().withColumn("event_start", F.explode(starts)).where(F.col("event_start") < F.lit(end).cast("timestamp"))
     known = known.where("event_value is not null").select("sensor", "event_start", "event_value")
     if callable(forecaster):
         values = _by_function(known, grid, forecaster)

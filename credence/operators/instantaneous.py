@@ -6,10 +6,10 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from credence.durations import micros
 from credence.operators.resample import DAY
+from credence.operators.running import neighbours
 
 AGGREGATES = {
     "mean": F.avg, "max": F.max, "min": F.min, "median": lambda c: F.percentile(c, F.lit(0.5)), "count": F.count,
@@ -19,6 +19,8 @@ AGGREGATES = {
     "std": F.stddev, "sum": F.sum, "var": F.variance, "quantile": lambda c: F.percentile(c, F.lit(0.5)),
     "ohlc": lambda c: F.struct(F.min_by(c, "event_start").alias("open"), F.max(c).alias("high"), F.min(c).alias("low"), F.max_by(c, "event_start").alias("close")),
 }
+#: Steps of a series that are filled in one task.
+SPAN = 4096
 FILLS = ("asfreq", "ffill", "pad", "bfill", "backfill", "nearest", "interpolate")
 
 
@@ -38,7 +40,7 @@ def resample_instantaneous(df: DataFrame, resolution: timedelta, method: str = "
         raise NotImplementedError(f"method {method!r} is not supported")
     step = micros(resolution)
     series = ["sensor", "source"]
-    offsets = F.broadcast(df.select("sensor", offset(F.col("event_start"), zone).alias("_offset")).distinct())  # a zone has a few
+    offsets = df.select("sensor", offset(F.col("event_start"), zone).alias("_offset")).distinct()  # a zone has a few
     shifted = df.join(offsets, "sensor").withColumn("_local", F.unix_micros("event_start") + F.col("_offset"))
     keys = [*series, "_offset"]
     origins = shifted.groupBy(*keys).agg((F.floor(F.min("_local") / F.lit(DAY)) * F.lit(DAY)).alias("_origin"))
@@ -55,30 +57,27 @@ def resample_instantaneous(df: DataFrame, resolution: timedelta, method: str = "
         points = grid.select(*keys, (F.col("_origin") + F.col("_bin") * F.lit(step)).alias("_local")).withColumn("_asked", F.lit(True))
         both = here.withColumn("_asked", F.lit(False)).unionByName(points, allowMissingColumns=True)
         met = both.groupBy(*keys, "_local").agg(F.max("_asked").alias("_asked"), *(F.first(c, ignorenulls=True).alias(c) for c in ["event_value", *extra]), F.max(~F.col("_asked")).alias("_real"))
-        met = met.withColumns(_filled(method, keys, ["event_value", *extra])).where("_asked")
-        if method in ("asfreq",):
-            met = met.where("_real")
+        if method == "asfreq":
+            met = met.where("_asked and _real")
+        else:
+            met = _filled(met, method, keys, ["event_value", *extra], SPAN * step).where("_asked")
         out = met.withColumn("event_start", F.timestamp_micros((F.col("_local") - F.col("_offset")).cast("long")))
     out = out.where(offset(F.col("event_start"), zone) == F.col("_offset")).select(*series, "event_start", "event_value", *extra)
     return out.where("event_value is not null") if dropna else out
 
 
-def _filled(method: str, keys: list[str], columns: list[str]) -> dict[str, Column]:
-    order = Window.partitionBy(*keys).orderBy("_local")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    before = lambda c: F.last(c, ignorenulls=True).over(back)
-    after = lambda c: F.first(c, ignorenulls=True).over(ahead)
+def _filled(met: DataFrame, method: str, keys: list[str], columns: list[str], span: int) -> DataFrame:
+    """The columns filled from the known values around, which are found in spans of a series."""
+    near = neighbours(met.withColumn("_known", F.when(F.col("event_value").isNotNull(), F.col("_local"))), keys, "_local", [*columns, "_known"], span)
+    before, after = (lambda c: F.col(f"{c}_before")), (lambda c: F.col(f"{c}_after"))
+    at_before, at_after = before("_known"), after("_known")
     if method in ("ffill", "pad"):
-        return {c: before(c) for c in columns}
+        return near.withColumns({c: before(c) for c in columns})
     if method in ("bfill", "backfill"):
-        return {c: after(c) for c in columns}
-    known = lambda w, f: f(F.when(F.col("event_value").isNotNull(), F.col("_local")), ignorenulls=True).over(w)
-    at_before, at_after = known(back, F.last), known(ahead, F.first)
+        return near.withColumns({c: after(c) for c in columns})
     if method == "nearest":
-        near = at_after.isNull() | (F.col("_local") - at_before < at_after - F.col("_local"))
-        return {c: F.when(at_before.isNotNull() & near, before(c)).otherwise(after(c)) for c in columns}
-    if method == "interpolate":
-        share = F.try_divide((F.col("_local") - at_before).cast("double"), (at_after - at_before).cast("double"))
-        value = F.when(at_after.isNull() | (at_after == at_before), before("event_value")).otherwise(before("event_value") + (after("event_value") - before("event_value")) * share)
-        return {"event_value": value} | {c: before(c) for c in columns if c != "event_value"}
-    return {}
+        first = at_after.isNull() | (F.col("_local") - at_before < at_after - F.col("_local"))
+        return near.withColumns({c: F.when(at_before.isNotNull() & first, before(c)).otherwise(after(c)) for c in columns})
+    share = F.try_divide((F.col("_local") - at_before).cast("double"), (at_after - at_before).cast("double"))
+    value = F.when(at_after.isNull() | (at_after == at_before), before("event_value")).otherwise(before("event_value") + (after("event_value") - before("event_value")) * share)
+    return near.withColumns({"event_value": value} | {c: before(c) for c in columns if c != "event_value"})

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from credence.functions import cdf as C
 
@@ -109,20 +112,19 @@ def joint_of_two(packed: DataFrame, keys: list[str], mean: bool = True) -> DataF
     pairs = groups.withColumn("_a", one).withColumn("_b", two).select(*keys, "event_start", "n", F.explode("_a").alias("a"), "_b").select(*keys, "event_start", "n", "a", F.explode("_b").alias("b"))
     value = (F.col("a.v") + F.col("b.v")) / (F.col("n") if mean else F.lit(1))
     merged = pairs.select(*keys, "event_start", "n", value.alias("event_value"), (F.col("a.p") * F.col("b.p")).alias("p")).groupBy(*keys, "event_start", "n", "event_value").agg(F.sum("p").alias("p"))
-    from pyspark.sql.window import Window
-
     up = Window.partitionBy(*keys).orderBy("event_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return merged.select(*keys, "event_start", "n", F.sum("p").over(up).alias("cumulative_probability"), "event_value")
 
 
-def equalize_bins(cdfs: DataFrame, key: str) -> DataFrame:
-    """(key, event_value, cumulative_probability): every cdf on the values of all of them.
+def equalize_bins(cdfs: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, key, event_value, cumulative_probability): every cdf on the values of all cdfs of its group.
 
-    ``cdfs`` (key, cumulative_probability, event_value). Below a cdf's first value it is 0.
+    ``cdfs`` (by, key, cumulative_probability, event_value); groups have equal ``by``
+    columns, as the cdfs of one event have. Below a cdf's first value it is 0.
     """
-    from pyspark.sql.window import Window
-
-    grid = cdfs.select(key).distinct().crossJoin(F.broadcast(cdfs.select("event_value").distinct()))
-    met = grid.join(cdfs, [key, "event_value"], "left")
-    up = Window.partitionBy(key).orderBy("event_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return met.select(key, "event_value", F.coalesce(F.last("cumulative_probability", ignorenulls=True).over(up), F.lit(0.0)).alias("cumulative_probability"))
+    by = list(by)
+    keys, values = cdfs.select(*by, key).distinct(), cdfs.select(*by, "event_value").distinct()
+    grid = keys.join(values, by) if by else keys.crossJoin(values)
+    met = grid.join(cdfs, [*by, key, "event_value"], "left")
+    up = Window.partitionBy(*by, key).orderBy("event_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return met.select(*by, key, "event_value", F.coalesce(F.last("cumulative_probability", ignorenulls=True).over(up), F.lit(0.0)).alias("cumulative_probability"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
@@ -18,9 +19,9 @@ def unique(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
-def depth_per_belief(df: DataFrame) -> DataFrame:
+def depth_per_belief(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """Number of points of each belief."""
-    return df.groupBy(*BELIEF).agg(F.count("*").alias("depth"))
+    return df.groupBy(*BELIEF, *also).agg(F.count("*").alias("depth"))
 
 
 def depth_count(df: DataFrame) -> DataFrame:
@@ -30,10 +31,12 @@ def depth_count(df: DataFrame) -> DataFrame:
 
 def stats(df: DataFrame) -> DataFrame:
     """One row of counts, over beliefs that are aggregated once."""
-    beliefs = depth_per_belief(df)
     sure = F.count_if(F.col("depth") == 1)
     n = F.count("*")
+    horizons = [F.count_distinct("belief_horizon").alias("number_of_belief_horizons")] if "belief_horizon" in df.columns else []
+    beliefs = depth_per_belief(df, ["belief_horizon"] if horizons else [])
     return beliefs.agg(
+        *horizons,
         F.count_distinct("sensor", "event_start").alias("number_of_events"),
         F.count_distinct("belief_time").alias("number_of_belief_times"),
         F.count_distinct("source").alias("number_of_sources"),
@@ -93,7 +96,7 @@ def irregular_starts(df: DataFrame) -> DataFrame:
     """(event_start, gap) of events whose distance from the one before is no multiple of the most common one."""
     gaps = with_previous_start(df).withColumn("gap", F.unix_micros("event_start") - F.unix_micros("previous")).where("gap is not null")
     usual = gaps.groupBy("sensor", "gap").agg(F.count("*").alias("n")).groupBy("sensor").agg(F.max_by("gap", F.struct(F.col("n").alias("n"), (-F.col("gap")).alias("g"))).alias("usual"))
-    return gaps.join(F.broadcast(usual), "sensor").where(F.pmod("gap", "usual") != 0).select("sensor", "event_start", "gap", "usual")
+    return gaps.join(usual, "sensor").where(F.pmod("gap", "usual") != 0).select("sensor", "event_start", "gap", "usual")
 
 
 def replace_level(df: DataFrame, level: str, values: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ def replace_level(df: DataFrame, level: str, values: DataFrame) -> DataFrame:
     stay = df.join(values, level, "left_semi")
     fresh = values.join(df.select(level).distinct(), level, "left_anti")
     others = [c for c in df.columns if c not in (level, "event_value")]
-    first = df.orderBy("event_start").limit(1).select(*others)
+    first = df.orderBy("event_start", *others).limit(1).select(*others)  # one row
     return stay.unionByName(fresh.crossJoin(F.broadcast(first)).withColumn("event_value", F.lit(None).cast("double")))
 
 

@@ -6,10 +6,12 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from credence.functions import cdf as C
 from credence.operators import scoring
 from credence.operators.propagate import align_belief_horizons, pack
+from credence.operators.running import running_sums
 
 UNITS = [("years", timedelta(days=365)), ("days", timedelta(days=1)), ("hours", timedelta(hours=1)), ("minutes", timedelta(minutes=1)), ("seconds", timedelta(seconds=1)), ("microseconds", timedelta(microseconds=1))]
 
@@ -45,6 +47,23 @@ def accuracy_by_event(df: DataFrame, source: str | None = None) -> DataFrame:
     return met.select(*scoring.EVENT, "belief_horizon", F.abs(F.col("event_value") - F.col("reference_value")).alias("mae"), "reference_value")
 
 
+def mean_accuracy_by_event(df: DataFrame, source: str | None = None) -> DataFrame:
+    """Mean error and reference value of each event and source over all horizons that occur, without a row for each of them.
+
+    A belief is held at as many horizons as lie above the next more recent belief's and up
+    to its own: a difference of two places in the order of horizons. Deterministic beliefs.
+    """
+    micros = F.unix_micros(F.lit(scoring.EPOCH).cast("timestamp") + F.col("belief_horizon"))
+    known = df.where("event_value is not null").withColumn("_at", micros)
+    places = df.select(micros.alias("_at")).distinct().withColumn("one", F.lit(1).cast("long")).withColumn("_all", F.lit(0))
+    places = running_sums(places, ["_all"], "_at", ["one"], scoring.SPAN).select("_at", F.col("one_sum").alias("_place"))
+    newer = F.lead("_place").over(Window.partitionBy(*scoring.EVENT).orderBy(F.col("_at").desc()))
+    held = known.join(places, "_at").withColumn("_n", F.col("_place") - F.coalesce(newer, F.lit(0)))
+    met = held.join(scoring.deterministic_truth(df, source), scoring.EVENT)
+    error = F.abs(F.col("event_value") - F.col("reference_value"))
+    return met.groupBy(*scoring.EVENT).agg((F.sum(error * F.col("_n")) / F.sum("_n")).alias("mae"), F.max("reference_value").alias("reference_value"))
+
+
 def density_points(df: DataFrame, low: float, high: float, points: int = 101, distribution: str = "normal") -> DataFrame:
     """Densities of each belief at points of a value window, for ridgelines: normal, or the masses of a discrete belief."""
     packed = pack(df)

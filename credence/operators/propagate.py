@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from credence.operators.viewpoint import EVENT
 
+#: Keys that the events of a sensor are dealt to where they meet its belief times.
+SALT = 16
 FORWARD = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -40,7 +42,10 @@ def align_belief_times(df: DataFrame, belief_times: DataFrame | None = None) ->
     beliefs = pack(df)
     times = df.select("sensor", "belief_time").distinct() if belief_times is None else belief_times.select("sensor", "belief_time").distinct()
     first = beliefs.groupBy(*EVENT).agg(F.min("belief_time").alias("_first"))
-    grid = first.join(times, "sensor").where(F.col("belief_time") >= F.col("_first")).drop("_first")
+    # A sensor's events are dealt to sixteen keys, so that a busy sensor is not one.
+    first = first.withColumn("_salt", F.pmod(F.xxhash64("event_start", "source"), F.lit(SALT)))
+    times = times.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    grid = first.join(times, ["sensor", "_salt"]).where(F.col("belief_time") >= F.col("_first")).drop("_first", "_salt")
     keys = [*EVENT, "belief_time"]
     both = beliefs.withColumn("_asked", F.lit(False)).unionByName(grid.withColumn("cdf", F.lit(None).cast(beliefs.schema["cdf"].dataType)).withColumn("_asked", F.lit(True)))
     met = both.groupBy(*keys).agg(F.first("cdf", ignorenulls=True).alias("cdf"), F.max("_asked").alias("_asked"))
@@ -53,7 +58,7 @@ def align_belief_horizons(df: DataFrame, horizons: DataFrame) -> DataFrame:
     beliefs = pack(df, (*EVENT, "belief_horizon"))
     older = Window.partitionBy(*EVENT).orderBy(F.col("belief_horizon").desc()).rowsBetween(*FORWARD)
     oldest = beliefs.groupBy(*EVENT).agg(F.max("belief_horizon").alias("_oldest"))
-    grid = oldest.crossJoin(F.broadcast(horizons.select(F.col("horizon").alias("belief_horizon")).distinct())).where("belief_horizon <= _oldest").drop("_oldest")
+    grid = oldest.join(horizons.select(F.col("horizon").alias("belief_horizon")).distinct(), F.col("belief_horizon") <= F.col("_oldest")).drop("_oldest")
     both = beliefs.unionByName(grid.withColumn("cdf", F.lit(None).cast(beliefs.schema["cdf"].dataType)))
     met = both.groupBy(*EVENT, "belief_horizon").agg(F.first("cdf", ignorenulls=True).alias("cdf"))
     return unpack(met.withColumn("cdf", F.last("cdf", ignorenulls=True).over(older)))

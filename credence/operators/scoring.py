@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from credence.functions import cdf as C
 from credence.operators import viewpoint as V
 from credence.operators.propagate import pack, unpack
+from credence.operators.running import running_sums
 
 EVENT = list(V.EVENT)
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 def set_event_value_from_source(df: DataFrame, source: str) -> DataFrame:
@@ -127,13 +130,44 @@ def rolling_viewpoint_accuracy(df: DataFrame, belief_horizon: timedelta, source:
     return accuracy_of(deterministic_scores(view, deterministic_truth(df, source)), lite, by)
 
 
-def accuracy_by_horizon(df: DataFrame, horizons: DataFrame | None = None, source: str | None = None) -> DataFrame:
-    """Accuracy at every horizon (those that occur, by default), by horizon and source, in one pass."""
-    horizons = df.select(F.col("belief_horizon").alias("horizon")).distinct() if horizons is None else horizons
-    held = V.at_horizons(df, horizons).select("horizon", *EVENT, "event_value")
-    met = held.join(deterministic_truth(df, source), EVENT)
-    scored = met.select("horizon", *EVENT, F.abs(F.col("event_value") - F.col("reference_value")).alias("crps"), "reference_value")
-    return accuracy_of(scored, by=("horizon", "source"))
+#: Microseconds of horizons that are summed in one task.
+SPAN = 3_600_000_000
+
+
+def accuracy_by_horizon(df: DataFrame, horizons: DataFrame | None = None, source: str | None = None, probabilistic: bool = False, lite: bool = False) -> DataFrame:
+    """Accuracy at every horizon (those that occur, by default), by horizon and source: each as ``rolling_viewpoint_accuracy`` gives it.
+
+    ``horizons`` (horizon: interval). A belief is held from its own horizon down to just
+    above the next more recent one's, and is scored once; sums over the beliefs held at a
+    horizon are running sums of what begins less what ends, so no belief meets all horizons.
+    """
+    known = df.where("event_value is not null")
+    if probabilistic:
+        held = pack(known, (*EVENT, "belief_horizon")).withColumn("cdf", C.complete(F.col("cdf")))
+        refs = reference(df, source=source, probabilistic=True).withColumn("reference_value", C.value_at(F.col("reference"), 0.5)["v"])
+        score = C.crps(F.col("cdf"), F.col("reference"))
+    else:
+        held, refs = known, deterministic_truth(df, source)
+        score = F.abs(F.col("event_value") - F.col("reference_value"))
+    newer = F.lead("belief_horizon").over(Window.partitionBy(*EVENT).orderBy(F.col("belief_horizon").desc()))
+    spans = held.withColumn("_newer", newer).join(refs, EVENT).withColumn("crps", score).withColumn("ratio", F.try_divide("crps", "reference_value"))
+    micros = lambda c: F.unix_micros(F.lit(EPOCH).cast("timestamp") + F.col(c))
+    count = lambda c: F.col(c).isNotNull().cast("long")
+    sums = {"_crps": F.coalesce("crps", F.lit(0.0)), "_n": count("crps"), "_ratio": F.coalesce("ratio", F.lit(0.0)), "_m": count("ratio")}
+    begins = spans.select("source", (-micros("belief_horizon")).alias("_at"), *(v.alias(c) for c, v in sums.items()))
+    ends = spans.where("_newer is not null").select("source", (-micros("_newer")).alias("_at"), *((-v).alias(c) for c, v in sums.items()))
+    means = refs.groupBy("source").agg(F.avg("reference_value").alias("_mean"))
+    asked = df.select(F.col("belief_horizon").alias("horizon")).distinct() if horizons is None else horizons.select("horizon").distinct()
+    sources = refs.agg(F.collect_set("source").alias("_sources"))  # one row; sources are a dimension
+    asked = asked.crossJoin(sources).select("horizon", (-micros("horizon")).alias("_at"), F.explode("_sources").alias("source"))
+    moves = begins.unionByName(ends).unionByName(asked.select("source", "_at", "horizon"), allowMissingColumns=True)
+    at = moves.groupBy("source", "_at").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums), F.first("horizon", ignorenulls=True).alias("horizon"))
+    summed = running_sums(at, ["source"], "_at", list(sums), SPAN).where("horizon is not null").join(means, "source")
+    mae = F.when(F.col("_n_sum") > 0, F.col("_crps_sum") / F.col("_n_sum"))
+    if lite:
+        return summed.select("horizon", "source", mae.alias("mae"), F.col("_mean").alias("reference_value"))
+    mape = F.when(F.col("_m_sum") > 0, F.col("_ratio_sum") / F.col("_m_sum"))
+    return summed.select("horizon", "source", mae.alias("mae"), mape.alias("mape"), F.try_divide(mae, F.col("_mean")).alias("wape"))
 
 
 def make_deterministic(df: DataFrame) -> DataFrame:

@@ -74,21 +74,18 @@ def belief_history(df: DataFrame, event_start: datetime, belief_time_window: tup
 
 
 def compared_with_previous(df: DataFrame, include_positive_horizons: bool = True, include_non_positive_horizons: bool = True, keys: Sequence[str] = EVENT) -> DataFrame:
-    """Adds previous_value: what the belief before said; the flags limit which beliefs may be that one.
+    """Adds previous_value: what the belief before said; one flag limits which beliefs may be that one, both off limit none.
 
-    ``df`` has belief_time, and belief_horizon where a flag is off. Deterministic beliefs.
+    A belief before that has no value is the one before all the same. ``df`` has belief_time,
+    and belief_horizon where one flag is off. Deterministic beliefs.
     """
     order = Window.partitionBy(*keys).orderBy("belief_time")
-    if include_positive_horizons and include_non_positive_horizons:
+    if include_positive_horizons == include_non_positive_horizons:
         return df.withColumn("previous_value", F.lag("event_value").over(order))
     zero = F.lit(timedelta(0))
-    allowed = F.lit(False)
-    if include_positive_horizons:
-        allowed = allowed | (F.col("belief_horizon") > zero)
-    if include_non_positive_horizons:
-        allowed = allowed | (F.col("belief_horizon") <= zero)
+    allowed = F.col("belief_horizon") > zero if include_positive_horizons else F.col("belief_horizon") <= zero
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("previous_value", F.last(F.when(allowed, F.col("event_value")), ignorenulls=True).over(before))
+    return df.withColumn("previous_value", F.last(F.when(allowed, F.struct("event_value")), ignorenulls=True).over(before)["event_value"])
 
 
 def unchanged_beliefs(df: DataFrame, include_positive_horizons: bool = True, include_non_positive_horizons: bool = True) -> DataFrame:
@@ -125,10 +122,10 @@ def most_recent_only(df: DataFrame) -> DataFrame:
 def at_horizons(df: DataFrame, horizons: DataFrame, keys: Sequence[str] = EVENT) -> DataFrame:
     """The belief that holds at each of many horizons, in one pass: a row for each event and horizon.
 
-    ``horizons`` (horizon: interval) is small and distinct. A belief holds from its own
+    ``horizons`` (horizon: interval) is distinct; the result has a row for each pair. A belief holds from its own
     horizon down to just above the next more recent one's. Deterministic beliefs.
     """
     newer = F.lead("belief_horizon").over(Window.partitionBy(*keys).orderBy(F.col("belief_horizon").desc()))
     spans = df.where(F.col("event_value").isNotNull()).withColumn("_newer", newer)
     holds = (F.col("horizon") <= F.col("belief_horizon")) & (F.col("_newer").isNull() | (F.col("horizon") > F.col("_newer")))
-    return spans.join(F.broadcast(horizons), holds).drop("_newer")
+    return spans.join(horizons, holds).drop("_newer")

@@ -63,10 +63,13 @@ for _how in ("floor", "ceil", "round"):
     )
 
 
-@query(also("h", f"v AS (SELECT DISTINCT event_start FROM h WHERE sensor = 'click' AND event_start < TIMESTAMP '2024-01-02' UNION SELECT TIMESTAMP '2023-06-01' UNION SELECT TIMESTAMP '2023-06-02') SELECT 'click' AS sensor, {T.format('v.event_start', 'event_start')}, {T.format(BELIEF, 'belief_time')}, 'S' AS source, 0.5::DOUBLE AS cumulative_probability, round(event_value, 6) AS event_value FROM v LEFT JOIN h ON h.sensor = 'click' AND h.event_start = v.event_start"))
+STARTS = "event_start < TIMESTAMP '2024-01-02'"
+
+
+@query(also("h", f"f AS (SELECT sensor FROM h ORDER BY event_start, sensor LIMIT 1) SELECT sensor, {T.format('event_start', 'event_start')}, {T.format(BELIEF, 'belief_time')}, 'S' AS source, 0.5::DOUBLE AS cumulative_probability, round(event_value, 6) AS event_value FROM (SELECT * FROM h WHERE {STARTS} UNION ALL SELECT sensor, unnest([TIMESTAMP '2023-06-01', TIMESTAMP '2023-06-02']), NULL FROM f)"))
 def replace_event_starts(spark, sf_dir):
-    """Events limited to some starts, with null rows for new ones."""
-    h = A.hourly(spark, sf_dir).where("sensor = 'click'")
+    """Events of all sensors limited to some starts, with null rows for new ones."""
+    h = A.hourly(spark, sf_dir)
     new = spark.createDataFrame([(datetime(2023, 6, d, tzinfo=timezone.utc),) for d in (1, 2)], "event_start timestamp")
     return lineage.replace_level(h, "event_start", h.where("event_start < timestamp '2024-01-02'").select("event_start").union(new))
 
@@ -88,11 +91,11 @@ def split_beliefs(spark, sf_dir):
     return resample.split_beliefs(p, timedelta(days=1), timedelta(hours=6))
 
 
-@query(also("bp", "l AS (" + latest_sql("p", columns="source, cumulative_probability, event_value", where="sensor = 'click' AND event_start = TIMESTAMP '2024-01-10'") + "), g AS (SELECT k.source, v.event_value FROM (SELECT DISTINCT source FROM l) k, (SELECT DISTINCT event_value FROM l) v) SELECT g.source, round(g.event_value, 6) AS event_value, round(coalesce(last_value(cumulative_probability IGNORE NULLS) OVER (PARTITION BY g.source ORDER BY g.event_value ROWS UNBOUNDED PRECEDING), 0), 6) AS cumulative_probability FROM g LEFT JOIN l ON l.source = g.source AND l.event_value = g.event_value"))
+@query(also("bp", f"l AS ({latest_sql('p')}), g AS (SELECT k.sensor, k.event_start, k.source, v.event_value FROM (SELECT DISTINCT sensor, event_start, source FROM l) k JOIN (SELECT DISTINCT sensor, event_start, event_value FROM l) v USING (sensor, event_start)) SELECT g.sensor, {T.format('g.event_start', 'event_start')}, g.source, round(g.event_value, 6) AS event_value, round(coalesce(last_value(cumulative_probability IGNORE NULLS) OVER (PARTITION BY g.sensor, g.event_start, g.source ORDER BY g.event_value ROWS UNBOUNDED PRECEDING), 0), 6) AS cumulative_probability FROM g LEFT JOIN l ON l.sensor = g.sensor AND l.event_start = g.event_start AND l.source = g.source AND l.event_value = g.event_value"))
 def equal_bins(spark, sf_dir):
-    """The sources' distributions of one event on common values."""
-    p = V.most_recent(A.probabilistic(spark, sf_dir), probabilistic=True).where("sensor = 'click' and event_start = timestamp '2024-01-10'")
-    return joint.equalize_bins(p.select("source", "cumulative_probability", "event_value"), "source")
+    """The sources' distributions of each event on common values."""
+    p = V.most_recent(A.probabilistic(spark, sf_dir), probabilistic=True)
+    return joint.equalize_bins(p.select("sensor", "event_start", "source", "cumulative_probability", "event_value"), "source", ("sensor", "event_start"))
 
 
 # other aggregates of instants ---------------------------------------------------------
@@ -143,11 +146,27 @@ def accuracy_by_sensor(spark, sf_dir):
     return scoring.fixed_viewpoint_accuracy(A.deterministic(spark, sf_dir), MOMENT, by=("sensor", "source"))
 
 
-@query(also("b", f"{TRUTH}, w AS (SELECT *, lead(horizon) OVER (PARTITION BY sensor, event_start, source ORDER BY horizon DESC) AS newer FROM b), n AS (SELECT DISTINCT horizon AS hz FROM b), m AS (SELECT w.sensor, w.event_start, w.source, abs(event_value - reference_value) AS mae, reference_value FROM w JOIN n ON hz <= horizon AND (newer IS NULL OR hz > newer) JOIN r USING (sensor, event_start, source) WHERE w.sensor = 'click') SELECT sensor, {T.format('event_start', 'event_start')}, source, round(avg(mae), 6) AS mae, round(avg(reference_value), 6) AS reference_value FROM m GROUP BY sensor, m.event_start, source").replace("FROM b), n AS", "FROM b WHERE sensor = 'click'), n AS").replace("DISTINCT horizon AS hz FROM b", "DISTINCT horizon AS hz FROM b WHERE sensor = 'click' AND event_start < TIMESTAMP '2024-01-05'").replace("WHERE w.sensor = 'click'", "WHERE w.event_start < TIMESTAMP '2024-01-05'"))
+SPANS = "w AS (SELECT *, lead(horizon) OVER (PARTITION BY sensor, event_start, source ORDER BY horizon DESC) AS newer FROM b)"
+
+
+@query(also("b", f"{TRUTH}, {SPANS}, n AS (SELECT DISTINCT horizon AS hz FROM b), m AS (SELECT w.sensor, w.event_start, w.source, abs(event_value - reference_value) AS mae, reference_value FROM w JOIN n ON hz <= horizon AND (newer IS NULL OR hz > newer) JOIN r USING (sensor, event_start, source)) SELECT sensor, {T.format('event_start', 'event_start')}, source, round(avg(mae), 6) AS mae, round(avg(reference_value), 6) AS reference_value FROM m GROUP BY sensor, m.event_start, source"))
 def plot_accuracy_by_event(spark, sf_dir):
-    """Mean error and reference of each event and source of one sensor's first days, over all horizons that occur."""
-    h = A.horizons(A.deterministic(spark, sf_dir)).where("sensor = 'click' and event_start < timestamp '2024-01-05'")
-    return plotdata.accuracy_by_event(h).groupBy("sensor", "event_start", "source").agg(F.avg("mae").alias("mae"), F.avg("reference_value").alias("reference_value"))
+    """Mean error and reference of each event and source, over all horizons that occur."""
+    return plotdata.mean_accuracy_by_event(A.horizons(A.deterministic(spark, sf_dir)))
+
+
+P_LATEST = f"lp AS ({latest_sql('p')})"
+P_MASS = "SELECT {k}, event_value AS v, coalesce(lag(cp) OVER j, 0) AS lo, cp AS hi FROM (SELECT *, CASE WHEN cumulative_probability = max(cumulative_probability) OVER (PARTITION BY {k}) THEN 1.0 ELSE cumulative_probability END AS cp FROM {t}) WINDOW j AS (PARTITION BY {k} ORDER BY cp)"
+P_KEY = "sensor, event_start, source"
+SIX = "n AS (SELECT i * 21600000000 AS hz FROM range(-3, 2) AS q(i))"
+HELD = "hv AS (SELECT * FROM (SELECT p.*, hz, rank() OVER (PARTITION BY hz, sensor, event_start, source ORDER BY belief_time DESC) AS rk FROM p JOIN n ON epoch_us(event_start) + 21600000000 - epoch_us(belief_time) >= hz) WHERE rk = 1)"
+
+
+@query(also("bp", f"{P_LATEST}, {SIX}, {HELD}, f AS ({P_MASS.format(k='hz, ' + P_KEY, t='hv')}), r AS ({P_MASS.format(k=P_KEY, t='lp')}), o AS (SELECT f.hz, r.sensor, r.event_start, r.source, r.lo, r.hi, r.v AS rv, f.v, (least(f.hi, r.hi) - greatest(f.lo, r.lo)) / (r.hi - r.lo) AS w FROM r JOIN f ON f.sensor = r.sensor AND f.event_start = r.event_start AND f.source = r.source AND least(f.hi, r.hi) > greatest(f.lo, r.lo)), m AS (SELECT hz, {P_KEY}, lo, hi, sum(w * abs(v - rv)) AS miss FROM o GROUP BY ALL), d AS (SELECT a.hz, a.sensor, a.event_start, a.source, a.lo, sum(a.w * b.w * abs(a.v - b.v)) AS spread FROM o a JOIN o b ON a.hz = b.hz AND a.sensor = b.sensor AND a.event_start = b.event_start AND a.source = b.source AND a.lo = b.lo GROUP BY ALL), c AS (SELECT hz, {P_KEY}, sum((miss - spread / 2) * (hi - m.lo)) AS crps FROM m JOIN d USING (hz, sensor, event_start, source, lo) GROUP BY ALL), g AS (SELECT {P_KEY}, coalesce(min(event_value) FILTER (cumulative_probability >= 0.5), max(event_value)) AS reference_value FROM lp GROUP BY ALL), k AS (SELECT hz, g.*, crps FROM n CROSS JOIN g LEFT JOIN c USING (hz, sensor, event_start, source)), a AS (SELECT hz, source, {SCORES} FROM k GROUP BY ALL) SELECT hz / 1e6 AS horizon, source, round(mae, 6) AS mae, round(mape, 6) AS mape, round(wape, 6) AS wape FROM a"))
+def accuracy_by_horizon_probabilistic(spark, sf_dir):
+    """Accuracy of probabilistic beliefs at horizons of whole quarter days, each belief scored once."""
+    h = spark.createDataFrame([(6 * HOUR * i,) for i in range(-3, 2)], "horizon interval day to second")
+    return scoring.accuracy_by_horizon(A.horizons(A.probabilistic(spark, sf_dir)), h, probabilistic=True)
 
 
 # functions over groups -------------------------------------------------------------------
@@ -197,14 +216,13 @@ def csv_round_trip(spark, sf_dir):
 @query(with_("b", f"SELECT {times(ROWS)} FROM ({latest_sql('b')})"))
 def streamed_latest_beliefs(spark, sf_dir):
     """The latest beliefs of a table read as a stream."""
-    from credence.streaming.latest import latest_beliefs
+    from credence.streaming.latest import write_latest
 
     t = A.table(spark, sf_dir, "events")
     stream = spark.readStream.schema(t.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"latest_{uuid.uuid4().hex}"
-    q = latest_beliefs(A.beliefs_of(stream)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    q.option("checkpointLocation", f"{shared_folder(spark)}/{name}").start().awaitTermination()
-    return spark.table(name)
+    path = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
+    write_latest(A.beliefs_of(stream), path, "100 days").awaitTermination()
+    return V.most_recent(spark.read.parquet(f"{path}/rows").drop("batch"), probabilistic=True)
 
 
 @query(with_("b", "").strip() + f", {ROUNDED} SELECT sensor, source, count(*) AS n FROM (SELECT *, lag(event_value) OVER (PARTITION BY sensor, event_start, source ORDER BY belief_time) AS before FROM r) WHERE event_value = before GROUP BY ALL")

@@ -20,13 +20,26 @@ TRANSFORMATIONS = {
 }
 
 
-def localize(df: DataFrame, column: str, zone: str, order: str) -> DataFrame:
-    """Local times as moments. Of an hour that occurs twice, the second time a local time comes (by ``order``) is the later one."""
+def localize(df: DataFrame, column: str, zone: str, order: str, series: Sequence[str] = ()) -> DataFrame:
+    """Local times as moments. Of an hour that occurs twice, the second time a series comes to a local time (by ``order``) is the later one.
+
+    ``series`` names the columns that tell beliefs about one event apart: two beliefs
+    about one local time are about one event, unless the same belief comes to it twice.
+    Only rows of such hours are ordered.
+    """
     local = F.col(column)
     first = F.to_utc_timestamp(local, zone)
     later = first + F.expr("INTERVAL '1' HOUR")
-    turn = F.row_number().over(Window.partitionBy(column).orderBy(order))
-    return df.withColumn(column, F.when((turn > 1) & (F.from_utc_timestamp(later, zone) == local), later).otherwise(first))
+    twice = F.from_utc_timestamp(later, zone) == local
+    rows = df.withColumn("_first", first).withColumn("_later", F.when(twice, later))
+    turn = F.row_number().over(Window.partitionBy(column, *series).orderBy(order))
+    hours = rows.where("_later is not null").withColumn(column, F.when(turn > 1, F.col("_later")).otherwise(F.col("_first")))
+    others = rows.where("_later is null").withColumn(column, F.col("_first"))
+    return others.unionByName(hours).drop("_first", "_later")
+
+
+#: Ways to write a day before its month.
+DAY_FIRST = ("d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy", "d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy", "d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy")
 
 
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -60,6 +73,7 @@ def read_beliefs(
     event_starts_before: datetime | None = None,
     datetime_split: str | None = None,
     datetime_format: str | None = None,
+    dayfirst: bool = False,
     round_to_resolution: str | None = None,
     drop_nulls: bool = False,
     transformations: Sequence[dict] = (),
@@ -88,12 +102,14 @@ def read_beliefs(
             text = F.trim(c)
             has_zone = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & text.rlike(r"\d:\d")
             zoned = raw.agg(F.max(has_zone)).first()[0]
-            parsed = F.try_to_timestamp(text, F.lit(datetime_format)) if datetime_format else F.try_to_timestamp(text)
+            formats = (datetime_format,) if datetime_format else DAY_FIRST if dayfirst else ()
+            parsed = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats), *([] if datetime_format else [F.try_to_timestamp(text)]))
             raw = raw.withColumn(c, parsed)
             if not zoned:
                 if timezone is None:
                     raise TypeError(f"{c} has no time zone; give one")
-                raw = localize(raw, c, timezone, "_line") if c == "event_start" else raw.withColumn(c, F.to_utc_timestamp(c, timezone))
+                series = [n for n in ("belief_time", "belief_horizon", "source", "cumulative_probability") if n in names and n != c]
+                raw = localize(raw, c, timezone, "_line", series) if c == "event_start" else raw.withColumn(c, F.to_utc_timestamp(c, timezone))
     df = raw.withColumn("event_value", F.expr("try_cast(event_value AS double)"))
     if drop_nulls:
         df = df.dropna(subset=[c for c in names if c in df.columns])

@@ -7,6 +7,7 @@ only the dates they ask for.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -72,8 +73,8 @@ class BeliefStore:
         """Source names to ids; new names are stored first."""
         new = df.select(F.col("source").alias("name")).distinct().join(self.sources, "name", "left_anti")
         first = self.sources.agg(F.coalesce(F.max("source_id"), F.lit(0))).first()[0]
-        new = new.select((F.row_number().over(Window.orderBy("name")) + F.lit(first)).cast("long").alias("source_id"), "name")
-        rows = new.collect()  # sources are a dimension, a few rows
+        names = sorted(r["name"] for r in new.collect())  # sources are a dimension, a few rows
+        rows = [(first + i + 1, name) for i, name in enumerate(names)]
         if rows:
             self.spark.createDataFrame(rows, "source_id long, name string").coalesce(1).write.mode("append").parquet(self._at("sources"))
         return df.join(self.sources.withColumnRenamed("name", "source"), "source").drop("source")
@@ -83,7 +84,8 @@ class BeliefStore:
 
         Without ``allow_overwrite`` a belief whose key is there raises DuplicateBelief and
         nothing is written. With it the stored value is replaced; only dates that the new
-        beliefs touch are written anew.
+        beliefs touch are written anew. Of new beliefs with one key the one of the largest
+        value counts. Each writer has a folder of its own for what it writes before.
         """
         if "belief_horizon" not in df.columns:
             df = df.withColumn("belief_horizon", sensor.knowledge_time(F.col("event_start"), resolution) - F.col("belief_time")).drop("belief_time")
@@ -96,14 +98,19 @@ class BeliefStore:
                 raise DuplicateBelief("a belief with this key is stored already")
             self._ordered(new).write.mode("append").partitionBy("sensor_id", "event_date").parquet(self._at(self.beliefs_table))
             return
-        new = new.dropDuplicates(KEY)
+        rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("event_value").desc_nulls_last(), *keep))
+        new = new.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
         touched = new.select("sensor_id", "event_date").distinct()
-        stay = old.join(F.broadcast(touched), ["sensor_id", "event_date"], "left_semi").join(new, KEY, "left_anti").select(*columns)
+        stay = old.join(touched, ["sensor_id", "event_date"], "left_semi").join(new, KEY, "left_anti").select(*columns)
         merged = stay.unionByName(new)
-        staged = self._at(f"_{self.beliefs_table}_staged")
-        self._ordered(merged).write.mode("overwrite").partitionBy("sensor_id", "event_date").parquet(staged)
-        back = self.spark.read.schema(old.schema).parquet(staged)
-        back.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sensor_id", "event_date").parquet(self._at(self.beliefs_table))
+        staged = self._at(f"_{self.beliefs_table}_{uuid.uuid4().hex}")
+        try:
+            self._ordered(merged).write.partitionBy("sensor_id", "event_date").parquet(staged)
+            back = self.spark.read.schema(old.schema).parquet(staged)
+            back.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sensor_id", "event_date").parquet(self._at(self.beliefs_table))
+        finally:
+            there = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+            there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)
 
     @staticmethod
     def _ordered(df: DataFrame) -> DataFrame:
