@@ -19,7 +19,7 @@ def running_sums(df: DataFrame, group: Sequence[str], order: str, values: Sequen
     before = Window.partitionBy(*group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*group, "_span", *(F.coalesce(F.sum(f"_all_{v}").over(before), F.lit(0)).alias(f"_base_{v}") for v in values))
     inside = Window.partitionBy(*group, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = spanned.withColumns({f"_in_{v}": F.sum(v).over(inside) for v in values})
+    local = spanned.withColumns({f"_in_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
     out = local.join(totals, [*group, "_span"])
     return out.select(*df.columns, *((F.col(f"_base_{v}") + F.col(f"_in_{v}")).alias(f"{v}_sum") for v in values))
 

@@ -10,19 +10,23 @@ from credence.frame import BeliefFrame
 from credence.sensors import Sensor
 
 
+# What Source A believes at two times about four events, at one standard deviation below, at and above the mean.
+WEIGHTS = [
+    [(90, 100, 110), (180, 200, 220), (270, 300, 330), (360, 400, 440)],
+    [(99, 100, 101), (198, 200, 202), (297, 300, 303), (396, 400, 404)],
+]
+
+
 def sixteen_beliefs(spark: SparkSession) -> BeliefFrame:
     """Sixteen probabilistic beliefs: four hourly events, two belief times, two sources."""
     sensor = Sensor("weight", "kg", "UTC", timedelta(minutes=15), id=1)
     start = datetime(2000, 1, 3, 9, tzinfo=timezone.utc)
     rows = []
-    for e in range(4):
-        for b in range(2):
-            when = datetime(2000, 1, 1, b, tzinfo=timezone.utc)
-            for cp in (0.1587, 0.5, 0.8413):
-                value = int((e + 1) * (100 + 10 ** (1 - b) * (cp - 0.5) / 0.3413))
-                rows.append((start + timedelta(hours=e), when, "Source A", cp, float(value)))
-            for cp, value in ((0.5, 0), (1.0, 100)):
-                rows.append((start + timedelta(hours=e), when, "Source B", cp, float((e + 1) * value)))
+    for b, events in enumerate(WEIGHTS):
+        when = datetime(2000, 1, 1, b, tzinfo=timezone.utc)
+        for e, values in enumerate(events):
+            rows += [(start + timedelta(hours=e), when, "Source A", cp, float(v)) for cp, v in zip((0.1587, 0.5, 0.8413), values)]
+            rows += [(start + timedelta(hours=e), when, "Source B", cp, v) for cp, v in ((0.5, 0.0), (1.0, 100.0 * (e + 1)))]
     return BeliefFrame.of(spark, rows, sensor)
 
 

@@ -163,14 +163,69 @@ def test_deterministic_accuracy_is_distance(spark):
     assert one == {"a": 2.0, "b": 2.0}
     both = BeliefFrame.of(spark, data, SLOT).fixed_viewpoint_accuracy(start - 5 * H)
     assert {r["source"]: pytest.approx(r["mae"]) for r in both.collect()} == one
-    by = f.accuracy().where("horizon is not null")
-    for r in by.collect()[:6]:
-        alone = {x["source"]: x["mae"] for x in f.rolling_viewpoint_accuracy(r["horizon"]).collect()}
-        assert alone[r["source"]] is not None
+    same_at_every_horizon(f)
     zero = BeliefFrame.of(spark, [(start, start, "a", 0.5, 1.0), (start, start + H, "a", 0.5, 0.0)], SLOT, probabilistic=False)
     assert zero.fixed_viewpoint_accuracy(start).first()["mape"] is None
 
 
+def same_at_every_horizon(frame, **options):
+    """Accuracy by horizon is the rolling viewpoint's, at each horizon and for each source."""
+    number = lambda x: None if x is None else pytest.approx(x, abs=1e-9)
+    found = {}
+    for r in frame.accuracy(**options).collect():
+        found.setdefault(r["horizon"], {})[r["source"]] = tuple(r)[2:]
+    assert found
+    for horizon, by_source in list(found.items())[:4]:
+        alone = {r["source"]: tuple(number(x) for x in tuple(r)[1:]) for r in frame.rolling_viewpoint_accuracy(horizon, **options).collect()}
+        assert by_source == alone
+
+
+def test_accuracy_of_probabilistic_beliefs_by_horizon(spark, sixteen):
+    same_at_every_horizon(sixteen, reference_source="Source A")
+    same_at_every_horizon(sixteen)
+    same_at_every_horizon(sixteen, reference_source="Source B", lite=True)
+    found = {(r["horizon"], r["source"]): r["mae"] for r in sixteen.accuracy(reference_source="Source A").collect()}
+    # The documented scores at these horizons.
+    assert found[(timedelta(days=2, hours=9, minutes=15), "Source A")] == pytest.approx(1.4821, abs=1e-4)
+    assert found[(timedelta(days=2, hours=9, minutes=15), "Source B")] == pytest.approx(125.8533, abs=1e-4)
+    assert found[(timedelta(days=2, hours=8, minutes=15), "Source A")] == pytest.approx(0.0)
+
+
+def test_running_sums_and_neighbours(spark):
+    from credence.operators.running import neighbours, running_sums
+
+    data = [("g", i * 7 % 101, float(i) if i % 3 else None) for i in range(101)]
+    df = spark.createDataFrame(data, "g string, at long, v double")
+    sums = {r["at"]: r["v_sum"] for r in running_sums(df, ["g"], "at", ["v"], 10).collect()}
+    near = {r["at"]: (r["v_before"], r["v_after"]) for r in neighbours(df, ["g"], "at", ["v"], 10).collect()}
+    ordered = sorted((a, v) for _, a, v in data)
+    for i, (a, v) in enumerate(ordered):
+        past, ahead = [x for _, x in ordered[: i + 1] if x is not None], [x for _, x in ordered[i:] if x is not None]
+        assert near[a] == (past[-1] if past else None, ahead[0] if ahead else None)
+        assert (sums[a] or 0) == sum(past)
+
+
+def test_unchanged_compares_with_a_belief_without_value(spark):
+    start = datetime(2020, 1, 2, tzinfo=UTC)
+    data = [(start, start - 3 * H, "a", 0.5, 1.0), (start, start - 2 * H, "a", 0.5, None), (start, start + 9 * H, "a", 0.5, 1.0)]
+    f = BeliefFrame.of(spark, data, SLOT, probabilistic=False)
+    for flags in ((True, True), (True, False), (False, True), (False, False)):
+        assert f.unchanged(include_positive_horizons=flags[0], include_non_positive_horizons=flags[1]).isEmpty()
+    known = f._with(f.df.where("event_value is not null"))
+    assert known.unchanged(include_positive_horizons=True, include_non_positive_horizons=False).count() == 1
+    assert known.unchanged(include_positive_horizons=False, include_non_positive_horizons=True).isEmpty()
+    assert known.unchanged(include_positive_horizons=False, include_non_positive_horizons=False).count() == 1
+
+
+def test_means_of_readings(spark):
+    df = spark.sql("SELECT array(named_struct('cp', 0.25D, 'v', 1D), named_struct('cp', 0.75D, 'v', 3D)) AS cdf")
+    from credence.functions import cdf as C
+
+    row = df.select(*(C.mean(F.col("cdf"), d).alias(d) for d in ("uniform", "discrete", "normal"))).first()
+    assert row["discrete"] == pytest.approx(0.25 * 1 + 0.75 * 3) and row["normal"] == pytest.approx(2.0)
+    assert row["uniform"] == pytest.approx(0.25 * 1 + 0.5 * 2 + 0.25 * 3)
+
+
 def test_references(spark, sixteen):
     assert sixteen.set_reference_values(kind="median").count() == 40
     full = sixteen.set_reference_values(source="Source A")
@@ -222,14 +277,13 @@ def test_downsample_begins_at_the_first_event(spark, first, hours, n):
 
 
 def test_upsample_leaves_gaps(spark):
-    start = datetime(2020, 3, 29, 10, tzinfo=UTC)
-    f = BeliefFrame.of(spark, [(start, start, "a", 0.5, 1000.0), (start + 2 * H, start, "a", 0.5, 2000.0), (start + 4 * H, start, "a", 0.5, None)], Sensor("s", event_resolution=H / 2))
-    out = sorted(rows(f.resample_events("20min").df, "event_start", "event_value"))
-    at = lambda m: datetime(2020, 3, 29, 10) + timedelta(minutes=m)
-    assert out == [(at(0), 1000.0), (at(20), 1000.0), (at(120), 2000.0), (at(140), 2000.0)]
-    assert f.resample_events("20min", keep_nulls=True).df.where("event_value is null").count() == 2
-    halves = f.resample_events("15min", method="sum").df
-    assert halves.agg(F.sum("event_value")).first()[0] == 3000.0
+    start = datetime(2021, 6, 3, 8, tzinfo=UTC)
+    f = BeliefFrame.of(spark, [(start, start, "a", 0.5, 8.0), (start + 3 * H, start, "a", 0.5, 14.0), (start + 5 * H, start, "a", 0.5, None)], Sensor("s", event_resolution=H / 2))
+    out = sorted(rows(f.resample_events("10min").df, "event_start", "event_value"))
+    at = lambda m: datetime(2021, 6, 3, 8) + timedelta(minutes=m)
+    assert out == [(at(m), 8.0) for m in (0, 10, 20)] + [(at(180 + m), 14.0) for m in (0, 10, 20)]
+    assert f.resample_events("10min", keep_nulls=True).df.where("event_value is null").count() == 3
+    assert f.resample_events("15min", method="sum").df.agg(F.sum("event_value")).first()[0] == 22.0
 
 
 def test_to_instants(spark):
@@ -438,14 +492,72 @@ def test_series(spark):
 
 
 def test_streamed_latest_beliefs(spark, sixteen, tmp_path):
+    """All points, over several batches in update mode; a far event doesn't end updates of nearer ones."""
     from credence.streaming.latest import latest_beliefs
 
-    src = str(tmp_path / "in")
-    sixteen.df.where("cumulative_probability = 0.5").write.parquet(src)
-    stream = spark.readStream.schema(sixteen.df.schema).parquet(src)
-    q = latest_beliefs(stream).writeStream.outputMode("update").format("memory").queryName("latest").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    assert spark.table("latest").count() == 8 and spark.table("latest").where("belief_time = '2000-01-01 01:00'").count() == 8
+    source, schema = tmp_path / "in", sixteen.df.schema
+    source.mkdir()
+    day = lambda d, h=0: datetime(2000, 1, d, h, tzinfo=UTC)
+    batches = [
+        [("s", day(11), day(1), "a", 0.5, 1.0), ("s", day(2), day(1), "a", 0.2, 2.0), ("s", day(2), day(1), "a", 0.8, 3.0)],
+        [("s", day(2), day(1, 1), "a", 0.3, 4.0), ("s", day(2), day(1, 1), "a", 0.9, 5.0), ("s", day(3), day(1, 2), "a", 0.5, 6.0)],
+        [("s", day(2), day(1, 1), "a", 1.0, 7.0), ("s", day(3), day(1, 1), "a", 0.5, 8.0), ("s", day(4), day(9), "a", 0.5, 9.0)],
+        [("s", day(2), day(2), "a", 0.5, 10.0), ("s", day(11), day(10), "a", 0.5, 11.0)],  # the first is later than late_by allows
+    ]
+    stream = spark.readStream.schema(schema).parquet(str(source))
+    seen = []
+
+    def write(df, batch):
+        seen.append(sorted((r["event_start"].day, r["belief_time"].hour, r["cumulative_probability"], r["event_value"]) for r in df.collect()))
+
+    for i, rows_ in enumerate(batches):
+        columns = [f.name for f in schema]
+        by = dict(zip(("sensor", "event_start", "belief_time", "source", "cumulative_probability", "event_value"), zip(*rows_)))
+        spark.createDataFrame(list(zip(*(by[c] for c in columns))), schema).coalesce(1).write.mode("append").parquet(str(source))
+        q = latest_beliefs(stream, "3 days").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    out = [x for x in seen if x]
+    assert out[0] == [(2, 0, 0.2, 2.0), (2, 0, 0.8, 3.0), (11, 0, 0.5, 1.0)]
+    assert out[1] == [(2, 1, 0.3, 4.0), (2, 1, 0.9, 5.0), (3, 2, 0.5, 6.0)]
+    assert out[2] == [(2, 1, 0.3, 4.0), (2, 1, 0.9, 5.0), (2, 1, 1.0, 7.0), (4, 0, 0.5, 9.0)]
+    assert out[3] == [(11, 0, 0.5, 11.0)]
+
+
+def test_repeated_local_hours(spark):
+    from credence.sources.files import localize
+
+    day = lambda h, m: datetime(2020, 10, 25, h, m, tzinfo=UTC)
+    two = [(0, day(2, 30), "x"), (1, day(2, 30), "y"), (2, day(3, 30), "x"), (3, day(1, 30), "x"), (4, day(2, 30), "x")]
+    df = spark.createDataFrame(two, "_line long, t timestamp, belief_time string")
+    got = {r["_line"]: (r["t"].hour, r["t"].minute) for r in localize(df, "t", "Europe/Amsterdam", "_line", ["belief_time"]).collect()}
+    # Two beliefs about one local time are about one event; the same belief's second time is an hour later.
+    assert got == {0: (0, 30), 1: (0, 30), 2: (2, 30), 3: (23, 30), 4: (1, 30)}
+
+
+def test_days_before_months(spark, tmp_path):
+    from credence.sources.files import read_beliefs
+
+    (tmp_path / "d.csv").write_text("when,value\n05/01/2020 10:00,1\n5-1-2020 11:00,2\n")
+    df = read_beliefs(spark, str(tmp_path / "d.csv"), Sensor("s", event_resolution=H), source="a", belief_horizon=timedelta(0), timezone="UTC", dayfirst=True)
+    assert sorted(r["event_start"] for r in df.collect()) == [datetime(2020, 1, 5, 10), datetime(2020, 1, 5, 11)]
+
+
+def test_upsert_of_repeated_keys_keeps_the_largest_value(spark, tmp_path):
+    from credence.sources.store import BeliefStore
+
+    start = datetime(2020, 1, 1, tzinfo=UTC)
+    sensor = Sensor("s", event_resolution=H, id=1)
+    store = BeliefStore(spark, str(tmp_path / "store"))
+    for values in ([1.0, 5.0, None], [2.0]):
+        df = BeliefFrame.of(spark, [(start, start, "a", 0.5, v) for v in values], sensor).df.drop("sensor")
+        store.add(df, sensor, allow_overwrite=True)
+        assert [r["event_value"] for r in store.search(sensor).collect()] == [max(v for v in values if v is not None)]
+    assert sorted(x.name for x in (tmp_path / "store").iterdir() if not x.name.startswith(".")) == ["beliefs", "sources"]
+
+
+def test_horizons_are_counted(sixteen):
+    counts = lineage.stats(sixteen.horizons).first()
+    assert counts["number_of_belief_horizons"] == 5 and counts["number_of_beliefs"] == 16
 
 
 def test_chart_specifications(sixteen):
