@@ -1,16 +1,15 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill overlap.
 
-1. Dense groups fold first: within small chunks of vectors that share a random sign
-   code, a vector takes in those so near that all of them link with each other
-   (angles to it of less than half the link angle). What is left stands for its class.
-2. Every tree splits the classes' vectors at the median of random projections, again
-   and again; those near a threshold go to both sides. Thresholds come from a bounded
-   sample of a node's vectors; every vector is routed. Nodes that still have more than
-   ``LEAF`` vectors are split anew in the next round.
-3. Vectors that share a leaf are compared by exact cosine in double precision; each
-   leaf gives counts and connections, not pairs. A leaf that cannot be split is compared
-   in blocks, each pair of blocks in a task of its own, so no leaf is cut short. Classes
-   whose members' links differ are compared member by member, in blocks too.
+1. Equal unit vectors are one class, counted before they meet.
+2. Every tree splits the classes at the median of random projections, again and again;
+   those near a threshold go to both sides. Thresholds come from a bounded sample of a
+   node's vectors; every vector is routed. A node's vectors are routed in cells of some
+   thousand, each beside the node's thresholds. Nodes that still have more than ``LEAF``
+   vectors are split anew in the next round.
+3. Vectors that share a leaf are compared by exact cosine in double precision; each leaf
+   gives counts and connections, one row for each class in it, and no pairs. A leaf that
+   cannot be split is compared in blocks, each pair of blocks in a task of its own, so no
+   leaf is cut short; that work, though not its rows, grows with the leaf's square.
 4. Links of classes are united; counts of links are sums over classes.
 
 Only vectors of equal, non-null label and equal length meet. Defined results: vectors
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 from credence.llm.common import bound_batches, connected_components, materialise
 
 COSINE, TREES, LEAF, SEED = 0.98, 4, 1024, 3
-#: Vectors that a node's thresholds are taken from, half the overlap of a split, bits of the folding codes, and folding rounds.
-SAMPLE, SPILL, CODE_BITS, FOLDS = 4096, 0.03, 16, 2
+#: Vectors that a node's thresholds are taken from, half the overlap of a split, and keys that a busy group is dealt to in joins.
+SAMPLE, SPILL, SALT = 4096, 0.03, 16
 
 
 def unit_rows(df: DataFrame, vector: str, key: str, label: str) -> DataFrame:
@@ -59,43 +58,11 @@ def matrix(vectors) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
 
 
-def angles(cosines: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(cosines, -1.0, 1.0))
-
-
-def fold(reps: DataFrame, turn: int, cosine: float) -> DataFrame:
-    """(rid, into, way): which class each class goes into, and how far its vector is from that one's."""
-    half = float(np.arccos(cosine)) / 2 * 0.98
-
-    def code(batches):
-        for batch in batches:
-            pdf = batch.to_pandas()
-            bits = np.zeros(len(pdf), np.int64)
-            for dim, some in pdf.groupby("dim").indices.items():
-                planes = np.random.default_rng([SEED, turn, int(dim)]).normal(size=(int(dim), CODE_BITS))
-                bits[some] = (matrix([pdf["vec"].iloc[i] for i in some]) @ planes > 0) @ (1 << np.arange(CODE_BITS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], [*batch.schema.names, "code"])
-
-    def absorb(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rid")
-        x, radius = matrix(list(pdf["vec"])), pdf["radius"].to_numpy()
-        into, way = np.arange(len(pdf)), np.zeros(len(pdf))
-        free = np.ones(len(pdf), bool)
-        near = angles(x @ x.T)
-        for i in range(len(pdf)):
-            if free[i]:
-                take = free & (near[i] + radius <= half)
-                take[i] = True
-                into[take], way[take] = i, near[i][take]
-                way[i] = 0.0
-                free &= ~take
-        return pd.DataFrame({"rid": pdf["rid"].to_numpy(), "into": pdf["rid"].to_numpy()[into], "way": way})
-
-    coded = materialise(reps.select("rid", "label", "dim", "vec", "radius").mapInArrow(code, "rid long, label string, dim int, vec binary, radius double, code long"), "forest-codes")
-    sizes = coded.groupBy("label", "dim", "code").agg(F.count("*").alias("n")).where("n > 1")
-    chunk = F.pmod(F.xxhash64("rid", F.lit(turn)), F.ceil(F.col("n") / F.lit(LEAF)).cast("long"))
-    cell = F.concat_ws("/", "label", "dim", "code", "chunk")  # one column, so that a group's chunks go to tasks of their own
-    return coded.join(sizes, ["label", "dim", "code"]).withColumn("chunk", chunk).withColumn("cell", cell).groupBy("cell").applyInPandas(absorb, "rid long, into long, way double")
+def beside(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """A join with one row for each value of ``on``, whose busy values are dealt to ``SALT`` keys."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("rid"), F.lit(SALT)))
+    each = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return salted.join(each, [on, "_salt"]).drop("_salt")
 
 
 def grow(x: np.ndarray, seed: list[int], least: int) -> list[tuple]:
@@ -151,47 +118,46 @@ def fitter(turn: int):
     return fit
 
 
-def sender(models: dict, turn: int):
-    """A function that routes batches of rows down the trees of their nodes."""
+def sender(turn: int):
+    """A function that routes a cell's rows down the tree of their node."""
 
-    def send(batches):
-        for batch in batches:
-            pdf = batch.to_pandas()
-            parts = []
-            for name, some in pdf.groupby("node", sort=False):
-                if name not in models or some["done"].iloc[0]:
-                    parts.append(some)
-                    continue
-                x = matrix(list(some["vec"]))
-                for leaf, rows in route(x, models[name], seed_of(name, turn)):
-                    parts.append(some.iloc[rows].assign(node=f"{name}/{leaf}", done=len(models[name]) == 1))
-            if parts:
-                yield pa.RecordBatch.from_pandas(pd.concat(parts), schema=batch.schema, preserve_index=False)
+    def send(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        name, rows = str(model["node"].iloc[0]), rows.drop(columns="cell")
+        nodes = list(zip(model["left"].iloc[0], model["right"].iloc[0], model["cut"].iloc[0]))
+        found = route(matrix(list(rows["vec"])), nodes, seed_of(name, turn))
+        return pd.concat([rows.iloc[some].assign(node=f"{name}/{leaf}", done=len(nodes) == 1) for leaf, some in found])
 
     return send
 
 
 def plant(reps: DataFrame, trees: int) -> DataFrame:
-    """(node, rid, vec, n, radius): every class in its leaves of all trees."""
-    columns = ["rid", "vec", "n", "radius"]
+    """(node, done, rid, vec, n): every class in its leaves of all trees."""
     node = F.concat_ws("/", "label", "dim", F.col("tree").cast("string"))
-    now = reps.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)]))).select(node.alias("node"), F.lit(False).alias("done"), *columns)
-    now = materialise(now, "forest")
-    turn = 0
+    now = reps.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)]))).select(node.alias("node"), F.lit(False).alias("done"), "rid", "vec", "n")
+    now, leaves, turn = materialise(now, "forest"), [], 0
     while True:
-        sizes = now.where("not done").groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LEAF)
-        sizes = materialise(sizes, "forest-sizes")
+        sizes = materialise(now.where("not done").groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LEAF), "forest-sizes")
+        if sizes.isEmpty():
+            return _all([*leaves, now])
+        large = beside(now.where("not done"), sizes, "node")
         share = F.lit(SAMPLE) / F.col("size")
         lot = F.shiftrightunsigned(F.xxhash64("rid", "node"), 11) / F.lit(float(1 << 53))
+        fitted = large.where(lot < share).groupBy("node").applyInPandas(fitter(turn), "node string, left array<int>, right array<int>, cut array<double>")
+        cells = F.ceil(F.col("size") / F.lit(SAMPLE)).cast("long")
+        name = lambda number: F.concat_ws("#", "node", number.cast("string"))
+        models = fitted.join(sizes, "node").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1))).select(name(F.col("_i")).alias("cell"), "node", "left", "right", "cut")
+        rows = large.withColumn("cell", name(F.pmod(F.xxhash64("rid"), cells))).select("cell", *now.columns)
+        split = rows.groupBy("cell").cogroup(models.groupBy("cell")).applyInPandas(sender(turn), now.schema)
+        leaves.append(now.where("done").unionByName(now.where("not done").join(sizes.select("node"), "node", "left_anti")))
+        now = materialise(split, "forest")
+        turn += 1
 
-        fitted = now.join(sizes, "node").where(lot < share).groupBy("node").applyInPandas(fitter(turn), "node string, left array<int>, right array<int>, cut array<double>")
-        # A few hundred numbers for each node with over LEAF vectors; none of what they were fitted on.
-        models = {r["node"]: list(zip(r["left"], r["right"], r["cut"])) for r in fitted.collect()}
-        if not models:
-            return now
 
-        now = materialise(now.mapInArrow(sender(models, turn), now.schema), "forest")
-        turn += 1
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def seed_of(name: str, turn: int) -> list[int]:
@@ -211,106 +177,62 @@ def roots_of(linked: np.ndarray) -> np.ndarray:
 
 
 def compare(leaves: DataFrame, cosine: float) -> DataFrame:
-    """(a, b, links, sure): what the leaves' comparisons find, in rows that grow with the classes and not with their pairs.
+    """(a, b, links): class a links with ``links`` vectors of other classes, and is connected with class b.
 
-    Sure rows: class a links as a whole with ``links`` members of other classes, and is
-    connected with class b. Other rows: some members of a and b may link. Classes that
-    share several leaves are counted in the first of these alone.
+    A class has a row for each leaf and block in which it links. Classes that share
+    several leaves are counted in the first of these alone.
     """
-    bound = float(np.arccos(cosine))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rid")
-        x, radius, rid, chunk = matrix(list(pdf["vec"])), pdf["radius"].to_numpy(), pdf["rid"].to_numpy(), pdf["chunk"].to_numpy()
-        n, single, here = pdf["n"].to_numpy(), pdf["n"].to_numpy() == 1, int(pdf["leaf"].iloc[0])
+        x, rid, chunk = matrix(list(pdf["vec"])), pdf["rid"].to_numpy(), pdf["chunk"].to_numpy()
+        n, here = pdf["n"].to_numpy(), int(pdf["leaf"].iloc[0])
         cross = pdf["one"].iloc[0] != pdf["two"].iloc[0]
         known: dict[int, int] = {}
         at = [(i, known.setdefault(int(h), len(known))) for i, hs in enumerate(pdf["leaves"]) for h in hs if h < here]
         before = np.zeros((len(x), len(known)), np.float32)  # which earlier leaves each class is in
         if at:
             before[tuple(np.array(at).T)] = 1
-        links, linked, unsure = np.zeros(len(x), np.int64), np.zeros((len(x), len(x)), bool), []
+        links, linked = np.zeros(len(x), np.int64), np.zeros((len(x), len(x)), bool)
         for i in range(0, len(x), 512):
-            cos = x[i : i + 512] @ x.T
-            near, reach = angles(cos), radius[i : i + 512, None] + radius[None, :]
-            both = single[i : i + 512, None] & single[None, :]
-            asked = rid[i : i + 512, None] != rid[None, :]
+            near = (x[i : i + 512] @ x.T >= cosine) & (rid[i : i + 512, None] != rid[None, :])
             if cross:
-                asked &= chunk[i : i + 512, None] != chunk[None, :]
-            sure = asked & np.where(both, cos >= cosine, near + reach <= bound - 1e-7)
-            maybe = asked & ~both & ~sure & (near - reach <= bound + 1e-7) & (rid[i : i + 512, None] < rid[None, :])
-            first = before[i : i + 512] @ before.T == 0
-            links[i : i + 512] = (sure & first) @ n
-            linked[i : i + 512] = sure
-            a, b = np.nonzero(maybe)
-            unsure.append(pd.DataFrame({"a": rid[i + a], "b": rid[b], "links": 0, "sure": False}))
+                near &= chunk[i : i + 512, None] != chunk[None, :]
+            some = np.flatnonzero(near.any(axis=1))
+            first = before[i + some] @ before.T == 0
+            links[i + some] = (near[some] & first) @ n
+            linked[i : i + 512] = near
         some = np.flatnonzero(linked.any(axis=1))
-        found = pd.DataFrame({"a": rid[some], "b": rid[roots_of(linked)[some]], "links": links[some], "sure": True})
-        return pd.concat([found, *unsure])
+        return pd.DataFrame({"a": rid[some], "b": rid[roots_of(linked)[some]], "links": links[some]})
 
     leaf = leaves.withColumn("leaf", F.xxhash64("node"))
     of = leaf.groupBy("rid").agg(F.collect_set("leaf").alias("leaves"))  # a few for each tree
     sizes = leaves.groupBy("node").agg(F.ceil(F.count("*") / F.lit(2 * LEAF)).cast("int").alias("chunks"))
-    rows = leaf.join(of, "rid").join(sizes, "node").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
+    rows = beside(leaf.join(of, "rid"), sizes, "node").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("node", "leaf", "leaves", "rid", "vec", "n", "radius", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
+    rows = rows.select("node", "leaf", "leaves", "rid", "vec", "n", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
     cell = F.concat_ws("#", "node", "one", "two")  # one column, so that a leaf's blocks go to tasks of their own
-    return rows.withColumn("cell", cell).groupBy("cell").applyInPandas(block, "a long, b long, links long, sure boolean")
-
-
-def by_member(unsure: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
-    """(rid, links, a, b): links of single members of pairs of classes that don't link as a whole."""
-    packs = members.join(unsure.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
-    sizes = packs.groupBy("class").agg(F.ceil(F.count("*") / F.lit(256)).cast("long").alias("k"))
-    packs = packs.join(sizes, "class").groupBy("class", F.pmod(F.xxhash64("rid"), F.col("k")).alias("pack"))
-    packs = materialise(packs.agg(F.collect_list(F.struct("rid", "vec")).alias("rows")), "forest-packs")
-    one = packs.select(F.col("class").alias("a"), F.col("rows").alias("rows_a"))
-    two = packs.select(F.col("class").alias("b"), F.col("rows").alias("rows_b"))
-
-    def run(batches):
-        for batch in batches:
-            for a, b, left, right in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                found = matrix([r["vec"] for r in left]) @ matrix([r["vec"] for r in right]).T >= cosine
-                ids = [r["rid"] for r in left] + [r["rid"] for r in right]
-                links = [*found.sum(axis=1).tolist(), *found.sum(axis=0).tolist()]
-                keep = [(i, n) for i, n in zip(ids, links) if n]
-                m = len(keep)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keep], pa.int64()), pa.array([n for _, n in keep], pa.int64()), pa.array([a] * m, pa.int64()), pa.array([b] * m, pa.int64())], ["rid", "links", "a", "b"])
-
-    joined = unsure.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "rows_a", "rows_b")
-    return joined.mapInArrow(run, "rid long, links long, a long, b long")
+    return rows.withColumn("cell", cell).groupBy("cell").applyInPandas(block, "a long, b long, links long")
 
 
 def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id", label: str = "label", cosine: float = COSINE, trees: int = TREES) -> DataFrame:
-    """(key, n_links, component_id, kept) of every row."""
+    """(key, n_links, component_id, kept) of every row; a null key is no component's name, and such a row is kept if it is alone."""
     bound_batches(df.sparkSession, 4096)
-    rows = materialise(unit_rows(df, vector, key, label), "forest-rows")
-    there = rows.where("vec is not null")
-    reps = there.select("rid", "label", "dim", "vec", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("radius"))
-    members = there.select("rid", F.col("rid").alias("class"))
-    for turn in range(FOLDS):
-        moved = materialise(fold(reps, turn, cosine).where("rid != into"), "forest-moved")
-        gone = moved.join(reps.select("rid", "n", "radius"), "rid").groupBy(F.col("into").alias("rid")).agg(F.sum("n").alias("more"), F.max(F.col("way") + F.col("radius")).alias("reach"))
-        reps = reps.join(moved.select("rid"), "rid", "left_anti").join(gone, "rid", "left")
-        reps = reps.select("rid", "label", "dim", "vec", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("radius", F.coalesce("reach", F.lit(0.0))).alias("radius"))
-        reps = materialise(reps, "forest-reps")
-        members = materialise(members.join(moved.select(F.col("rid").alias("class"), "into"), "class", "left").select("rid", F.coalesce("into", "class").alias("class")), "forest-members")
-    pairs = materialise(compare(plant(reps, trees), cosine), "forest-pairs")
-    sure = pairs.where("sure")
-    single = materialise(by_member(pairs.where("not sure").select("a", "b").distinct(), members.join(there.select("rid", "vec"), "rid"), cosine), "forest-single")
-    counted = reps.select("rid", "n")
-    of_class = sure.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("far"))
-    of_row = single.groupBy("rid").agg(F.sum("links").alias("own"))
-    roots = connected_components(sure.where("a != b").select("a", "b").union(single.select("a", "b")).distinct(), "forest-links")
-    classes = counted.withColumnRenamed("rid", "class").join(of_class, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    classes = classes.select("class", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"), F.coalesce("component", "class").alias("root"))
-    placed = members.join(classes, "class").join(rows.select("rid", "key"), "rid")
-    placed = materialise(placed.select("rid", "root", "links", "key"), "forest-placed")
-    least = placed.groupBy("root").agg(F.min("key").alias("least"))
-    linked = placed.join(least, "root").join(of_row, "rid", "left").select("rid", (F.col("links") + F.coalesce("own", F.lit(0))).alias("links"), "least")
-    out = rows.select("rid", "key").join(linked, "rid", "left")
-    component = F.coalesce("least", "key")
-    return out.select(F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+    known = unit_rows(df, vector, key, label)
+    rows = materialise(known.withColumn("class", F.when(F.col("vec").isNotNull(), F.md5(F.concat(F.col("label").cast("binary"), F.lit("/").cast("binary"), F.col("vec"))))), "forest-rows")
+    reps = rows.where("vec is not null").groupBy("class").agg(*(F.first(c).alias(c) for c in ("label", "dim", "vec")), F.min("rid").alias("rid"), F.count("*").alias("n"), F.min("key").alias("least"))
+    reps = materialise(reps, "forest-reps")
+    found = materialise(compare(plant(reps.drop("class", "least"), trees), cosine), "forest-links")
+    links = found.groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("far"))
+    roots = connected_components(found.where("a != b").select("a", "b").distinct(), "forest-links").withColumnRenamed("node", "rid")
+    classes = reps.select("class", "rid", "n", "least").join(links, "rid", "left").join(roots, "rid", "left")
+    classes = classes.select("class", "least", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"), F.coalesce("component", "rid").alias("root"))
+    names = classes.groupBy("root").agg(F.min("least").alias("name"))
+    classes = classes.join(names, "root").select("class", "links", "name")
+    alone = rows.where("class is null").select("key", F.lit(0).cast("long").alias("links"), F.col("key").alias("name"))
+    out = beside(rows.where("class is not null").select("rid", "key", "class"), classes, "class").select("key", "links", "name").unionByName(alone)
+    component = F.coalesce("name", "key")
+    return out.select(F.col("key").alias(key), F.col("links").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, component.isNull()).alias("kept"))
 
 
 #: The same rows by comparing all vectors of a label, by DuckDB.

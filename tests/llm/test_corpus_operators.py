@@ -158,20 +158,28 @@ def test_odd_vectors(spark):
     assert tree_forest.near_duplicates(df.limit(0)).isEmpty()
 
 
-def test_recall_over_the_whole_table(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("label < 3") if _there("/root/testdata/check_s") else spark.read.parquet(f"{SF}/embeddings.parquet")
-    rows = df.collect()
-    x, label = np.array([r["embedding"] for r in rows], float), np.array([r["label"] for r in rows])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    expected = sum(int((x[label == k] @ x[label == k].T >= 0.98).sum()) - int((label == k).sum()) for k in set(label))
-    found = tree_forest.near_duplicates(df).agg(F.sum("n_links")).first()[0]
-    assert 0.9 * expected <= found <= expected
-
-
-def _there(path):
-    import os
-
-    return os.path.isdir(path)
+def test_recall_of_split_trees(spark):
+    """One label of more vectors than leaves hold, at the real ``LEAF``; links close to the threshold."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(2600, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    off = rng.normal(size=base.shape)
+    off -= (off * base).sum(axis=1)[:, None] * base
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    cos = rng.uniform(0.981, 0.985, len(base))[:, None]
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * off, np.repeat(base[:1], 30, axis=0)])
+    expected = (x @ x.T >= 0.98).sum(axis=1) - 1
+    data = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    found = {r["vec_id"]: r["n_links"] for r in tree_forest.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert all(found[i] <= n for i, n in enumerate(expected.tolist()))
+    assert sum(found.values()) >= 0.97 * expected.sum()
+
+
+def test_vectors_without_ids_and_long_ones(spark):
+    long = [float(i % 7) for i in range(5000)]
+    data = [(None, long, 0), (None, [1.0, 0.0], 0), (4, [1.0, 0.001], 0), (5, long, 0), (None, [0.0, 1.0], 0)]
+    found = Counter(tuple(r) for r in tree_forest.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect())
+    assert found == Counter([(None, 1, 5, False), (5, 1, 5, True), (None, 1, 4, False), (4, 1, 4, True), (None, 0, None, True)])
 
 
 # 7 -------------------------------------------------------------------------------
@@ -361,6 +369,23 @@ def test_importance_parts_good_from_poor(spark):
         assert weights[i] == pytest.approx(ratio[importance.buckets(t.encode())].sum())
 
 
+def test_kept_rows_are_the_top_of_the_noisy_weights(spark, sample):
+    """As many rows as reach the cut, the first by noisy weight; equal however the rows are dealt."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    hot = sample.unionByName(sample.where("doc_id % 10 = 1"))
+    got = importance.resample(hot, labels).collect()
+    good = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    weights = {r["doc_id"]: r["log_weight"] for r in got}
+    both = [[weights[k] for k, q in good.items() if k in weights and (q == 1) == side] for side in (True, False)]
+    cut = importance.best_cut(*both)
+    k = sum(r["log_weight"] >= cut for r in got)
+    least = sorted((r["gumbel_key"] for r in got), reverse=True)[k - 1]
+    assert 0 < k < len(got) and all(r["kept"] == (r["gumbel_key"] >= least) for r in got)
+    again = importance.resample(hot.repartition(5), labels).collect()
+    plain = lambda rows: Counter((r["doc_id"], r["kept"]) for r in rows)
+    assert plain(again) == plain(got)
+
+
 def test_importance_of_odd_documents(spark, odd_documents):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert importance.resample(odd_documents, none).where("kept").count() == 11

@@ -156,6 +156,36 @@ def test_hosts(spark):
     assert found[301] and found[302]
 
 
+def test_windows_of_equal_hashes_are_told_apart(spark):
+    """A hash that all windows share must not make them repeated."""
+    df = spark.sql("SELECT split('a b c d e a b c', ' ') AS w, array(1L, 1L, 1L, 1L, 1L, 1L) AS h")
+    assert df.select(host_rules.repeated_words(F.col("h"), F.col("w"))).first()[0] == 6
+
+
+def test_host_verdicts_against_plain_code(spark):
+    """Prior, shrunk rates and the join back, on hosts of which some are rejected."""
+    rng, data = random.Random(6), []
+    for h in range(40):
+        share = rng.choice([0.0, 0.1, 0.5, 0.9, 1.0])
+        for _ in range(rng.choice([1, 3, 20, 80])):
+            poor = rng.random() < share
+            data.append((len(data), "# $ % | " * 30 + f"{len(data)}" if poor else " ".join(f"w{rng.randrange(9999)}" for _ in range(60)), None if h == 0 else f"h{h}"))
+    found = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in host_rules.verdicts(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    by_host, base = {}, {}
+    for i, text, host in data:
+        n_words, _, symbols, _, repeated = plain_metrics(text)
+        base[i] = n_words < 50 or 100 * repeated > 50 * n_words
+        by_host.setdefault(host, []).append(base[i] or 100 * symbols > 20 * n_words)
+    n, k = sum(map(len, by_host.values())), sum(map(sum, by_host.values()))
+    mean = k / n
+    beyond = sum(sum(f) ** 2 / len(f) for f in by_host.values()) / n - mean**2 - mean * (1 - mean) * len(by_host) / n
+    strength = 10000.0 if beyond <= 0 else min(10000.0, max(1.0, mean * (1 - mean) / beyond - 1))
+    rejected = {h for h, f in by_host.items() if (sum(f) + mean * strength) / (len(f) + strength) > 0.75}
+    assert 0 < len(rejected) < len(by_host)
+    assert found == {i: (base[i], not base[i] and h not in rejected) for i, _, h in data}
+    assert any(not base[i] and h in rejected for i, _, h in data)
+
+
 # 6 -------------------------------------------------------------------------------
 
 
@@ -165,11 +195,25 @@ def test_licences(spark, odd_documents):
     data = [(1, "Copyright (c) 2020 Jo Doe\nAll rights reserved.\n\n" + mit.upper().replace(", ", " ,\n* ")), (2, wrapped + mit), (3, mit.replace("sublicense", "sub-license").replace("merge", "Merge")), (4, None), (5, "Copyright 2020 by x"), (6, mit), (6, mit)]
     found = sorted((r["doc_id"], r["licence_id"]) for r in licences.scan(spark.createDataFrame(data, "doc_id long, text string")).collect())
     assert found == [(1, "MIT"), (2, None), (3, "MIT"), (4, None), (5, None), (6, "MIT"), (6, "MIT")]
+    # One word more or less, and spellings inside longer words, are other texts.
+    near = [(1, mit + " Amen."), (2, mit.replace("without restriction, ", "")), (3, "programmer"), (4, "programr"), (5, "programme programme"), (6, "program program")]
+    near = {r["doc_id"]: (r["digest"], r["licence_id"]) for r in licences.scan(spark.createDataFrame(near, "doc_id long, text string")).collect()}
+    assert all(v[1] is None for v in near.values()) and near[3] != near[4] and near[5] == near[6]
     assert licences.scan(odd_documents).count() == 11 and licences.scan(odd_documents.limit(0)).isEmpty()
     own = spark.createDataFrame([("b", "Do  what you like."), ("a", "do what you LIKE"), ("e", "")], "licence_id string, text string")
     assert licences.scan(spark.createDataFrame([(1, "do what you like!")], "doc_id long, text string"), own).first()["licence_id"] == "a"
 
 
+def test_licences_from_files(spark, tmp_path):
+    texts_of = {f"L-{i}": " ".join(f"word{(i * 7 + j) % 97}" for j in range(3000)) for i in range(5)}
+    for name, text in texts_of.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    known = licences.read_licences(spark, str(tmp_path))
+    docs = [(i, text.upper().replace(" ", ",\n")) for i, text in enumerate(texts_of.values())] + [(9, texts_of["L-1"] + " more")]
+    found = {r["doc_id"]: r["licence_id"] for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string"), known).collect()}
+    assert found == {**{i: f"L-{i}" for i in range(5)}, 9: None}
+
+
 # 10 ------------------------------------------------------------------------------
 
 PATTERNS = {
