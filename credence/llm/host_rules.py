@@ -6,7 +6,8 @@ towards the rate of all hosts with a beta prior whose strength is fitted to how
 hosts' rates differ beyond chance, so a host with few documents isn't judged by one or
 two. Documents of hosts whose shrunk rate exceeds the limit go, by a join back.
 
-Windows of three words are told apart by 64-bit hashes, within one document only.
+Windows of three words are told apart by their words; only windows whose 64-bit hash
+another window of the document has are compared.
 
 Defined results: null, empty and wordless texts have zero counts and fail; a null host
 is a host of its own; repeated rows count each; texts may have any length; an empty
@@ -34,24 +35,31 @@ def metrics(df: DataFrame, text: str = "text", key: str = "doc_id", host: str =
         "key", "host", "n", "symbols",
         F.length(F.array_join("w", "")).alias("chars"),
         F.size("l").alias("lines"), (F.size("l") - F.size(F.array_distinct("l"))).alias("dup_lines"),
-        F.when(F.col("n") >= 3, window).otherwise(F.array().cast("array<bigint>")).alias("h"),
+        F.when(F.col("n") >= 3, window).otherwise(F.array().cast("array<bigint>")).alias("h"), "w",
     )
     return rows.select(
         F.col("key").alias(key), F.col("host").alias(host),
         *(F.col(a).cast("long").alias(b) for a, b in (("n", "n_words"), ("chars", "word_chars"), ("symbols", "n_symbols"), ("lines", "n_lines"), ("dup_lines", "n_dup_lines"))),
-        repeated_words(rows["h"]).alias("n_repeat_words"),
+        repeated_words(rows["h"], rows["w"]).alias("n_repeat_words"),
     )
 
 
-def repeated_words(h: Column) -> Column:
-    """Number of words in windows of three whose hash occurs twice or more; ``h`` has the windows' hashes in order."""
+def repeated_words(h: Column, w: Column) -> Column:
+    """Number of words in windows of three that occur twice or more; ``h`` has the windows' hashes in order, ``w`` the words."""
     none = F.lit(0).cast("long")
 
-    # Windows are sorted by hash, then place; those with an equal neighbour are repeated. Their places, sorted, cover
-    # three words each, fewer where the next one begins earlier.
+    # Windows are sorted by hash, then place. Those whose hash a neighbour has are sorted by their words, and those with
+    # an equal neighbour are repeated. Their places, sorted, cover three words each, fewer where the next one begins earlier.
+    def same(s: Column, x: Column, k: Column, field: str) -> Column:
+        return ((k > 0) & (F.get(s, k - 1)[field] == x[field])) | F.coalesce(F.get(s, k + 1)[field] == x[field], F.lit(False))
+
+    def worded(s: Column) -> Column:
+        met = F.filter(s, lambda x, k: same(s, x, k, "h"))
+        words = lambda x: F.concat_ws(" ", F.get(w, x["i"]), F.get(w, x["i"] + 1), F.get(w, x["i"] + 2))
+        return F.sort_array(F.transform(met, lambda x: F.struct(words(x).alias("t"), x["i"].alias("i"))))
+
     def places(s: Column) -> Column:
-        met = F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | (F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))))
-        return F.array_sort(F.transform(met, lambda x: x["i"]))
+        return F.array_sort(F.transform(F.filter(s, lambda x, k: same(s, x, k, "t")), lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         return F.aggregate(p, F.struct(none.alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
@@ -61,7 +69,7 @@ def repeated_words(h: Column) -> Column:
         return F.get(F.transform(F.array(value), use), F.lit(0))
 
     several = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    counted = within(several, lambda s: covered(places(s)))
+    counted = within(several, lambda s: within(worded(s), lambda t: covered(places(t))))
     return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(counted)
 
 
