@@ -10,7 +10,8 @@ reaches the cut that best parts labelled good from labelled poor rows.
 The top k is found by narrowing a histogram of the keys, so no order of all rows is
 made and nothing that grows with the rows reaches the driver.
 
-Defined results: null, empty and wordless texts have no n-grams and weight 0; equal
+Defined results: rows that share a labelled key count once for the cut, with their mean
+weight; null, empty and wordless texts have no n-grams and weight 0; equal
 texts have equal weights, and noise of their own by key; rows that tie with the last
 key taken are taken too; without labelled good rows all weights are 0, without labelled
 poor ones, or with no good ones, all rows are kept; an empty table gives an empty one;
@@ -146,8 +147,8 @@ def resample(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     scored = weigh(df, ratio, text, key, row).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
     scored = materialise(scored, "importance")
     known = spark.createDataFrame([(k, 1) for k in good] + [(k, 0) for k in poor], f"{key} {dict(df.dtypes)[key]}, good int")
-    seen = scored.join(known, key).select("log_weight", "good").limit(4 * MOST_LABELLED).collect()
-    cut = best_cut([r[0] for r in seen if r[1]], [r[0] for r in seen if not r[1]])
+    seen = scored.join(known, key).groupBy(key, "good").agg(F.avg("log_weight").alias("w")).collect()  # one row for each labelled key
+    cut = best_cut([r["w"] for r in seen if r["good"]], [r["w"] for r in seen if not r["good"]])
     k = scored.where(F.col("log_weight") >= F.lit(cut)).count()
     if not k:
         return scored.withColumn("kept", F.lit(False))
