@@ -13,6 +13,8 @@ empty table gives an empty one; other columns aren't read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,12 +64,21 @@ KNOWN = [
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form: lower-case words with single spaces between them."""
+    """The canonical form: lower-case words with single spaces between them.
+
+    Spellings are replaced as whole words or phrases, never inside a longer word.
+    """
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
-    out = F.trim(F.regexp_replace(out, r"[\s\p{Z}]+", " "))
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, NOT_WORDS, " ")), F.lit(" "))
+    # Neighbours share the space between them, so it is doubled until all are replaced.
+    out = F.replace(out, F.lit(" "), F.lit("  "))
     for one, two in SPELLINGS:
-        out = F.replace(out, F.lit(one), F.lit(two))
-    return F.trim(F.regexp_replace(out, NOT_WORDS, " "))
+        out = F.replace(out, F.lit(_spaced(one)), F.lit(_spaced(two)))
+    return F.trim(F.regexp_replace(out, " +", " "))
+
+
+def _spaced(words: str) -> str:
+    return f" {'  '.join(re.split('[^a-z]+', words.strip('/:')))} "
 
 
 def digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -75,6 +86,12 @@ def digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return df.select(key, F.sha2(canonical(F.col(text)), 256).alias("digest"))
 
 
+def read_licences(spark, path: str) -> DataFrame:
+    """(licence_id, text) of a folder of text files, one licence each, named by its id: the entire texts to look for."""
+    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.txt)?$", 1).alias("licence_id"), F.col("value").alias("text"))
+    return files
+
+
 def known_licences(spark, rows=KNOWN) -> DataFrame:
     return spark.createDataFrame(rows, "licence_id string, text string")
 
@@ -89,10 +106,10 @@ def scan(df: DataFrame, licences: DataFrame | None = None, text: str = "text", k
 
 def _sql(value: str) -> str:
     out = f"regexp_replace(lower(coalesce({value}, '')), '{COPYRIGHT_LINE}', '', 'g')"
-    out = f"trim(regexp_replace({out}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+    out = f"replace(' ' || trim(regexp_replace({out}, '{NOT_WORDS}', ' ', 'g')) || ' ', ' ', '  ')"
     for one, two in SPELLINGS:
-        out = f"replace({out}, '{one}', '{two}')"
-    return f"sha256(trim(regexp_replace({out}, '{NOT_WORDS}', ' ', 'g')))"
+        out = f"replace({out}, '{_spaced(one)}', '{_spaced(two)}')"
+    return f"sha256(trim(regexp_replace({out}, ' +', ' ', 'g')))"
 
 
 def _known_sql() -> str:
