@@ -24,9 +24,11 @@ repeated rows stay; an empty table gives an empty one; other columns aren't read
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -44,8 +46,6 @@ WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 ESCAPE = 14
 BLOCK = 1024
 MAGIC = b"S8B1"
-#: Words that a worker remembers; there are two generations of them.
-CACHE_WORDS = 500_000
 
 
 def selector_of(ids: np.ndarray) -> np.ndarray:
@@ -160,90 +160,79 @@ class Segment:
         return unpack(words, np.array([0, len(words)]), self.exceptions, min(BLOCK, self.n - b * BLOCK))
 
 
-class WordEncoder:
-    """Ids of texts by a byte-level tokenizer, whose words are encoded once and remembered.
+#: The words that byte-level tokenizers of this kind cut texts into; a fixed value, that of their published encoder.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of white space in a row from which the library encodes a long text.
+LONG_BLANK = re.compile(r"\s{2000}")
+
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
-    The tokenizer's pattern begins a new word at every single space, and a single
-    newline is a word of its own; neither joins what stands on its two sides. So texts
-    are cut there, and letters are cut from marks that follow them. Texts with two
-    characters of white space in a row, or with some at an end, are encoded whole, and
-    so are texts that hold the string of an added token, which is one id there.
-    """
 
-    uneven = re.compile(r"\s\s|^\s|\s\Z")
-    marks = ".,;:!?%&*$#|)"
+@functools.lru_cache(maxsize=1 << 16)
+def settled(c: str) -> bool:
+    """Whether all editions of Unicode since 3.2 count a character as the same kind: letter, number, mark, or white space."""
+    then, now = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+    return then[0] == now[0] and then != "Cn" and c != "\u180e"
+
+
+class TextEncoder:
+    """Ids of whole texts by a byte-level tokenizer, equal to the tokenizers library's.
+
+    Where the file's merges are in the order of their ids, and it cuts words by the usual
+    pattern alone, a faster library merges by the same ranks. Texts that hold an added
+    token's string, a character that editions of Unicode class differently, or very much
+    white space in a row go to the tokenizers library.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.library = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], "<u4").tobytes()
-        self.line = self._whole("\n")
-        self.separable = len(self.line) == 4 and self._whole("a\n b\nc") == b"".join([self._whole("a"), self.line, self._whole(" b"), self.line, self._whole("c")])
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _library(self, words: list[str]) -> list[bytes]:
-        """Ids of words without newlines: one call for all, with newlines between them."""
-        if not self.separable:
-            return [self._whole(w) for w in words]
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0]).tolist()
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0] + [c + 1 for c in cuts], [*cuts, len(ids)])]
-
-    def _learn(self, missing: set[str]) -> None:
-        """Puts words into the young generation."""
-        young, old, bases, joined = self.young, self.old, set(), []
-        for w in missing:
-            known = old.get(w)
-            if known is not None:
-                young[w] = known
-                continue
-            base = w.rstrip(self.marks)
-            if len(base) < len(w) and base[-1:].isalpha():
-                joined.append((w, base, w[len(base) :]))
-                bases.update(x for x in joined[-1][1:] if x not in young and x not in old)
-            else:
-                bases.add(w)
-        some = list(bases)
-        for i in range(0, len(some), 2048):
-            young.update(zip(some[i : i + 2048], self._library(some[i : i + 2048])))
-        for w, base, mark in joined:
-            young[w] = (young.get(base) or old[base]) + (young.get(mark) or old[mark])
+        self.fast = self._fast(json.loads(self.library.to_str()))
+
+    def _fast(self, file: dict):
+        """The faster encoder; None where the file asks for anything that it doesn't do."""
+        import tiktoken
+
+        model, cutter = file["model"], file["pre_tokenizer"] or {}
+        usual = model["type"] == "BPE" and not (file["normalizer"] or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+        if not usual or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
+            return None
+        vocab, byte = model["vocab"], byte_of()
+        pairs = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        if [vocab.get(m) for m in pairs] != list(range(256, 256 + len(pairs))):
+            return None
+        ranks = {bytes(byte[c] for c in piece): i for piece, i in vocab.items() if piece not in self.added}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> bool:
+        if any(a in text for a in self.added) or not (text.isascii() or all(map(settled, set(text)))):
+            return False
+        return len(text) < 2000 or not LONG_BLANK.search(text)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
-        young, seen = self.young, set()
-        cut: list[list[str] | None] = []
-        for t in batch:
-            words = None
-            if t and not self.uneven.search(t) and not any(a in t for a in self.added):
-                words = t.replace("\n", "\n\n").replace(" ", "\n ").split("\n")  # an empty one stands for a newline
-                seen.update(words)
-            cut.append(words)
-        young[""] = self.line
-        self._learn(seen.difference(young))
-        known = young.__getitem__
         out = []
-        for t, words in zip(batch, cut):
-            if words is None:
-                out.append((self._whole(t) if t else b"") + self.end)
+        for t in batch:
+            if self.fast is not None and self._plain(t):
+                ids = self.fast.encode_to_numpy(t, disallowed_special=())
             else:
-                out.append(b"".join(map(known, words)) + self.end)
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = young, {}
+                ids = self.library.encode(t, add_special_tokens=False).ids
+            out.append(np.asarray(ids, "<u4").tobytes() + self.end)
         return out
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, end_id: int) -> WordEncoder:
-    return WordEncoder(path, end_id)
+def encoder(path: str, end_id: int) -> TextEncoder:
+    return TextEncoder(path, end_id)
 
 
 def write_token_files(df: DataFrame, out: str, path: str, end_id: int = 0, text: str = "text", key: str = "doc_id") -> None:

@@ -80,11 +80,14 @@ def test_packing_round_trip(n, top):
         assert len(s.words) * 8 < 4 * n
 
 
-def test_word_encoder_equals_the_library():
-    library, own = Tokenizer.from_file(BYTES), token_binary.WordEncoder(BYTES, 0)
+def test_text_encoder_equals_the_library():
+    library, own = Tokenizer.from_file(BYTES), token_binary.TextEncoder(BYTES, 0)
     rng = random.Random(8)
     special = ["".join(rng.choices(["<|endoftext|>", "<|", "endoftext", "|>", " ", "a", "b.", "\n", "the"], k=8)) for _ in range(1000)]
-    batch = [*texts(3000, 1), *special, "<|endoftext|> x", "<|endoftext|>", "a <|endoftext|> b", "a.\nB, c's", "x\n\ny", " lead", "trail "]
+    assert own.fast is not None
+    wide = ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x30000)])) + rng.choice(["", "", " ", "a", "1"]) for _ in range(rng.randrange(1, 12))) for _ in range(20000)]
+    blank = [" " * 5000 + "x", "x" + "\n \t" * 40000 + "y", "x" * 50000, "1" * 30000, "é" * 20000 + "  ", "it's 'RE we'll " * 3000, "\x1c \x85 \u2028x \u3000  y"]
+    batch = [*texts(3000, 1), *special, *wide, *blank, "<|endoftext|> x", "<|endoftext|>", "a <|endoftext|> b", "a.\nB, c's", "x\n\ny", " lead", "trail "]
     expected = [np.array([*e.ids, 0], "<u4").tobytes() for e in library.encode_batch(batch, add_special_tokens=False)]
     assert own.encode(batch) == expected and own.encode(batch) == expected
 
