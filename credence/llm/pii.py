@@ -7,8 +7,8 @@ digits, written without their mark, or with their marks spelt out. Texts of any
 are laid over with windows that overlap by half; scores of windows that overlap are
 averaged with weights that fall towards a window's ends, and each stretch of windows is
 then decoded as one sequence, so that a span across a border is found once and whole.
-Windows without a digit, an at sign or a spelt-out one hold no personal data of these
-kinds, as each kind needs one of them; they are not scored. A span of the tagger stays
+Windows without a digit, an at sign or one spelt out in brackets ("[at]", "( AT )") are
+not scored; so an address in words alone ("jo at mail dot com") is not found. A span of the tagger stays
 if it meets no span of the rules and passes the same proof as its kind (a card its
 checksum, an ip its ranges, a phone its number of digits).
 
@@ -36,7 +36,7 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-MARK = re.compile(r"[0-9@]|[\[(]at[\])]")
+MARK = re.compile(r"[0-9@]|[\[(] ?at ?[\])]", re.IGNORECASE)
 #: Characters of a window, and how far the next one is.
 WINDOW, STRIDE = 128, 64
 #: The tagger's training: labelled texts, steps, seed.
@@ -272,7 +272,7 @@ def proven(kind: str, found: str) -> bool:
     """Whether the text of a span of the tagger is of its kind."""
     digits = digits_of(found)
     if kind == "email":
-        plain = re.sub(r"\s*[\[(]at[\])]\s*", "@", re.sub(r"\s*[\[(]dot[\])]\s*", ".", found))
+        plain = re.sub(r"(?i)\s*[\[(] ?at ?[\])]\s*", "@", re.sub(r"(?i)\s*[\[(] ?dot ?[\])]\s*", ".", found))
         return re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", plain) is not None
     if kind == "ip":
         plain = re.sub(r"\s*\[?\.\]?\s*", ".", found)
