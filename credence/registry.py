@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from credence.plans import more_queries  # noqa: F401  (registers its queries)
+from credence.plans import further_queries, more_queries  # noqa: F401  (register their queries)
 from credence.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
