@@ -21,7 +21,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the importance resampling keeps; it decides by doc_id and text, so rows that are equal in both share a verdict."""
+    """Rows that the importance resampling keeps; it decides by doc_id and text, so rows that are equal in both share a verdict.
+
+    A null text counts as empty and has weight 0, a null doc_id is a key like any other; rows
+    that tie with the last one kept are kept too; an empty table gives an empty one.
+    """
     key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
     rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("print", F.sha2(F.coalesce(text, F.lit("")), 256))
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", key)
@@ -32,7 +36,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more): the one with the smallest doc_id."""
+    """One row of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more): the one with the smallest doc_id.
+
+    Repeated rows are one group and leave one row; of equal ids the row read first stays, and a
+    null doc_id only where no other is in the group; null, empty and wordless texts are one group;
+    an empty table gives an empty one.
+    """
     rows = _numbered(docs)
     key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
     found = simhash.similar_texts(rows, text, "row").join(rows.select("row", key), "row")
@@ -41,19 +50,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced with its kind in brackets."""
+    """All documents, personal data replaced with its kind in brackets.
+
+    A null text stays null and an empty one empty; equal texts get equal ones; repeated rows stay.
+    """
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in the order of its shards."""
+    """Documents as often as the mix takes them, in the order of its shards, cut where its blocks end.
+
+    Texts without words, null ones among them, are taken no words and have no row; a null source is
+    the last one; repeated rows count each; an empty table gives an empty one.
+    """
     out = mixing.mixed_rows(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's ids, with their number, their digest and that of the text they decode to."""
+    """Every document's ids, with their number, their digest and that of the text they decode to.
+
+    A null text counts as empty, which has the end id alone; repeated rows stay.
+    """
     return sentencepiece_bpe.round_trip(docs, tokenizer("piece_bpe_32k.model"), with_ids=True)
 
 
