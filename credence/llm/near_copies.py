@@ -6,12 +6,10 @@ permutations. Texts that share a key are candidates, and only exact Jaccard simi
 their shingles' 64-bit hashes links them. A pair at the threshold shares none of 40 bands
 of 6 with probability (1 - 0.8^6)^40, or 5e-6; one of similarity 0.3 meets with 0.03.
 
-All pairs of a key's group would grow with its square. So a group's members are compared
-with one of them first, over some rounds with other leaders; what is linked by then needs
-no more comparing. Groups of up to ``SMALL`` texts that are left in several components
-are compared pair by pair. Larger ones are parted by a second band (a pair at the
-threshold shares fewer than two with probability 8e-5), and led again; only texts that
-share two bands, and are still not linked, are compared pair by pair whatever their number.
+A group's members are compared with one of them first, and what is linked by then closes
+most groups. The others are compared in blocks: a task takes two parts of a group, counts
+what their sets share by a matrix product, and gives links that connect them, not pairs.
+So rows don't grow with a group's square beyond a part's size; the comparing does.
 
 Defined results: null, empty and wordless texts are copies of each other; a text of fewer
 words than a shingle has its whole sequence for one; texts may have any length; an empty
@@ -24,6 +22,7 @@ import functools
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,8 +32,10 @@ from credence.llm.common import bound_batches, connected_components, materialise
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, MINIMA = 40, 6
-#: Rounds of leaders, and texts in a group up to which those not linked by then are compared in pairs.
-ROUNDS, SMALL = 3, 64
+#: Leaders that a group's members are compared with, and members of a part in the blocks.
+ROUNDS, SMALL = 1, 512
+#: Different shingles whose product is made at a time.
+WIDE = 1 << 12
 #: Shingles that are permuted at a time, and bits that mark candidates.
 SLICE, MARKS = 1 << 10, 1 << 22
 
@@ -138,30 +139,79 @@ def led(still: DataFrame, turn: int) -> DataFrame:
     return still.join(leaders.select("band", F.col("_first.node").alias("_node"), F.col("_first.label").alias("_label"), F.col("_first.n").alias("_n")), "band")
 
 
-def paired(still: DataFrame) -> DataFrame:
-    """All pairs of each group's members."""
-    others = still.select("band", F.col("node").alias("_node"), F.col("label").alias("_label"), F.col("n").alias("_n"))
-    return still.join(others, "band").where("node < _node")
-
-
-def parted(still: DataFrame, bands_of: DataFrame) -> DataFrame:
-    """(band, node, n): the members of each group by a second band."""
-    each = still.select("band", "node", "n").join(bands_of.select("node", "bands"), "node").withColumn("_other", F.explode("bands")).where("_other != band")
-    keyed = each.select(F.xxhash64(F.least("band", "_other"), F.greatest("band", "_other")).alias("band"), "node", "n").distinct()
-    shared = keyed.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1").select("band")
-    return materialise(keyed.join(shared, "band"), "copies-bands")
-
-
-def linked(df: DataFrame, drawn: DataFrame, met: DataFrame, text: str, key: str, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame | None:
+def alone(still: DataFrame) -> DataFrame:
+    """The groups without those that have the same members as another one; told apart by number and two sums of hashes."""
+    total = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(38,0)")) for i in range(2)]
+    kinds = still.groupBy("band").agg(F.count("*").alias("_size"), F.struct(*total).alias("_sums"))
+    first = kinds.groupBy("_size", "_sums").agg(F.min("band").alias("band")).select("band", "_size")
+    return still.join(first, "band")
+
+
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Numbers of elements that each of some sets shares with each of others."""
+    rows = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in (*one, *two)])
+    _, column, times = np.unique(np.concatenate([*one, *two]), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place, several = np.cumsum(shared) - 1, shared[column]
+    rows, column = rows[several], place[column[several]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for i in range(0, int(shared.sum()), WIDE):
+        low, high = np.searchsorted(column, [i, i + WIDE])
+        held = np.zeros((len(one) + len(two), WIDE), np.float32)
+        held[rows[low:high], column[low:high] - i] = 1
+        out += held[: len(one)] @ held[len(one) :].T
+    return out
+
+
+def least_reachable(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links, itself linked, the smallest row reachable."""
+    found = np.arange(len(near))
+    while True:
+        after = np.where(near, found, len(near)).min(axis=1)
+        if (after == found).all():
+            return found
+        found = after
+
+
+def in_blocks(still: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect the similar members of each group; a task compares two parts of a group at most.
+
+    A part has about ``SMALL`` members, so a group of m gives m * m / SMALL rows to compare,
+    and each comparison at most one link for each member.
+    """
+    parts = F.ceil(F.col("_size") / F.lit(SMALL)).cast("int")
+    each = alone(still).withColumn("_parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), "_parts").cast("int"))
+    each = each.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    each = each.select("band", F.least("part", "_other").alias("one"), F.greatest("part", "_other").alias("two"), "part", "node", "label").join(sets, "node")
+
+    def run(pdf):
+        left, right = (pdf[pdf["part"] == pdf[side].iloc[0]] for side in ("one", "two"))
+        a, b = ([np.asarray(x) for x in side["hashes"]] for side in (left, right))
+        if pdf["label"].nunique() < 2 or not a or not b:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        both = overlaps(a, b)
+        size = np.array([len(x) for x in a], np.float64)[:, None] + np.array([len(x) for x in b], np.float64)[None, :]
+        near = both / (size - both) >= similarity
+        node = np.concatenate([left["node"], right["node"]])
+        square = np.eye(len(node), dtype=bool)
+        square[: len(a), len(a) :] = near
+        square[len(a) :, : len(a)] = near.T
+        first = least_reachable(square)
+        links = pd.DataFrame({"a": node, "b": node[first]}, dtype="int64")
+        return links[links["a"] != links["b"]]
+
+    return each.groupBy("band", "one", "two").applyInPandas(run, "a long, b long")
+
+
+def linked(df: DataFrame, met: DataFrame, text: str, key: str, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame | None:
     """(node, component) of rows whose texts are similar to another's; ``met`` (band, node, n) has the keys that they share."""
     sets = materialise(shingle_sets(df, met.select("node"), text, key, width), "copies-sets")
     roots: DataFrame | None = None
 
-    def compare(pairs: DataFrame) -> None:
+    def unite(edges: DataFrame) -> None:
         nonlocal roots
-        pairs = pairs.where("label != _label").where(F.least("n", "_n") / F.greatest("n", "_n") >= F.lit(similarity))
-        pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        edges = similar(pairs, sets, similarity)
         before = roots
         if before is not None:
             edges = edges.union(before.where("node != component").select("node", "component"))
@@ -169,25 +219,16 @@ def linked(df: DataFrame, drawn: DataFrame, met: DataFrame, text: str, key: str,
         if before is not None:
             release(before)
 
-    for level in range(2):
-        for turn in range(ROUNDS):
-            still = open_groups(met, roots)
-            if still.isEmpty():
-                break
-            compare(led(still, ROUNDS * level + turn))
-            release(still)
+    for turn in range(ROUNDS + 1):
         still = open_groups(met, roots)
         if still.isEmpty():
             break
-        sizes = still.groupBy("band").agg(F.count("*").alias("_size"))
-        few = still.join(sizes.where(F.col("_size") <= SMALL).select("band"), "band", "left_semi")
-        if level == 0:
-            compare(paired(few))
-            rest = parted(open_groups(still.join(sizes.where(F.col("_size") > SMALL).select("band"), "band", "left_semi").select("band", "node", "n"), roots), drawn)
-            release(met)
-            met = rest
+        if turn < ROUNDS:
+            pairs = led(still, turn).where("label != _label").where(F.least("n", "_n") / F.greatest("n", "_n") >= F.lit(similarity))
+            pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+            unite(similar(pairs, sets, similarity))
         else:
-            compare(paired(still))
+            unite(in_blocks(still, sets, similarity))
         release(still)
     release(met)
     release(sets)

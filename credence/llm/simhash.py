@@ -106,7 +106,7 @@ def similar_texts(df: DataFrame, text: str = "text", key: str = "row", width: in
     met = by_band.unionByName(by_print)
     shared = met.groupBy("band").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).where("_low != _high").select("band")
     met = materialise(met.join(shared, "band"), "copies-bands")
-    roots = near_copies.linked(df, nodes, met, text, key, width, similarity)
+    roots = near_copies.linked(df, met, text, key, width, similarity)
     release(nodes)
     component = F.col("head") if roots is None else F.coalesce("component", "head")
     rooted = heads if roots is None else heads.join(roots.withColumnRenamed("node", "head"), "head", "left")
