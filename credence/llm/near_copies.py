@@ -9,7 +9,8 @@ of 6 with probability (1 - 0.8^6)^40, or 5e-6; one of similarity 0.3 meets with
 A group's members are compared with one of them first, and what is linked by then closes
 most groups. The others are compared in blocks: a task takes two parts of a group, counts
 what their sets share by a matrix product, and gives links that connect them, not pairs.
-So rows don't grow with a group's square beyond a part's size; the comparing does.
+The comparing grows with the square of a group's size, and its rows with that square over a
+part's size, as each member goes to as many blocks as there are parts.
 
 Defined results: null, empty and wordless texts are copies of each other; a text of fewer
 words than a shingle has its whole sequence for one; texts may have any length; an empty
