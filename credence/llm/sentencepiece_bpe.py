@@ -30,7 +30,7 @@ from credence.llm.common import Cache, bound_batches, texts
 
 SPACE = "▁"
 #: Entries of the caches in each Python worker.
-CACHE_PARTS, CACHE_WORDS, CACHE_PAIRS = 150_000, 150_000, 400_000
+CACHE_PARTS, CACHE_WORDS, CACHE_PAIRS = 20_000, 170_000, 170_000
 
 
 class PieceCodec:
@@ -60,7 +60,8 @@ class PieceCodec:
         scores = {p: model.get_score(i) for p, i in self.id_of.items()}
         place = {x: k for k, x in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {p: place[x] for p, x in scores.items()}
-        self.fits: dict[tuple[str, str], bool] = {}
+        #: For a piece and one that may follow it: the longest that fits, of the latter and the shorter ones it begins with.
+        self.fitting: dict[tuple[str, str], str | None] = {}
         self.halves: dict[str, int] = {}
         # Pieces of two characters and more that merges end in, and the next shorter one that each begins with.
         self.shorter: dict[str, str] = {}
@@ -113,16 +114,11 @@ class PieceCodec:
         further right is the later one. Before each of them the pair that meets at the
         border must not be one that merges earlier.
         """
-        key = left, right
-        known = self.fits.get(key)
-        if known is not None:
-            return known
-        rank, limit, known = self.rank, len(self.rank), True
+        rank, limit = self.rank, len(self.rank)
         while True:
             r = rank.get(left + right)
             if r is not None and r < limit:
-                known = False
-                break
+                return False
             a = rank[left] if len(left) > 1 else -1
             b = rank[right] if len(right) > 1 else -1
             if a > b:
@@ -130,11 +126,24 @@ class PieceCodec:
             elif b >= 0:
                 limit, right = b + 1, right[: self.half(right)]
             else:
+                return True
+
+    def longest_fitting(self, left: str, piece: str) -> str | None:
+        """The longest piece that can follow ``left``, of a piece and the shorter ones that it begins with."""
+        known, walked = self.fitting, []
+        while piece is not None:
+            found = known.get((left, piece), "")
+            if found != "":
+                piece = found
                 break
-        if len(self.fits) >= CACHE_PAIRS:
-            self.fits.clear()
-        self.fits[key] = known
-        return known
+            walked.append((left, piece))
+            if self.compatible(left, piece):
+                break
+            piece = self.shorter.get(piece)
+        if len(known) >= CACHE_PAIRS:
+            known.clear()
+        known.update(dict.fromkeys(walked, piece))
+        return piece
 
     def half(self, piece: str) -> int:
         """Length of the left half of the merge that makes a piece; 0 if no merges end in it."""
@@ -149,34 +158,41 @@ class PieceCodec:
         n, longest = len(text), list(text)
         for end, (before, piece) in self.automaton.iter(text):
             longest[end - before] = piece  # ends rise, so the longest piece of a start comes last
-        failed = bytearray((n >> 3) + 1)  # a bit for each position
-        fits, shorter = self.fits, self.shorter
+        failed, any_failed = bytearray((n >> 3) + 1), False  # a bit for each position
+        known, shorter = self.fitting, self.shorter
         out: list[str] = []
-        at, piece = 0, longest[0] if n else ""
+        at, piece, left = 0, longest[0] if n else "", ""
         while at < n:
             while piece is not None:
-                end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    if not out:
-                        break
-                    ok = fits.get((out[-1], piece))
-                    if ok or ok is None and self.compatible(out[-1], piece):
+                if left:
+                    fits = known.get((left, piece), "")
+                    piece = self.longest_fitting(left, piece) if fits == "" else fits
+                    if piece is None:
                         break
+                end = at + len(piece)
+                if not (any_failed and failed[end >> 3] >> (end & 7) & 1):
+                    break
                 piece = shorter.get(piece)
             if piece is not None:
                 out.append(piece)
-                at = end
+                at, left = end, piece
                 piece = longest[at] if at < n else ""
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                any_failed = True
                 piece = out.pop()  # its end is marked now, so a shorter one follows
                 at -= len(piece)
+                left = out[-1] if out else ""
         return out
 
     def part_ids(self, text: str) -> list[int]:
-        ids = []
-        for piece in self.pieces(text):
-            i = self.id_of.get(piece)
+        pieces, id_of = self.pieces(text), self.id_of
+        try:
+            return [id_of[p] for p in pieces]
+        except KeyError:  # a character outside the vocabulary
+            ids = []
+        for piece in pieces:
+            i = id_of.get(piece)
             if i is None:
                 ids.extend(self.id_of_byte[b] for b in piece.encode())
             else:
@@ -193,17 +209,21 @@ class PieceCodec:
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of ids. Bytes that aren't UTF-8 become U+FFFD; other ids that stand for no text give none."""
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
+        text_of = self.text_of
+        try:
+            out = [text_of[i] for i in ids]
+        except KeyError:  # bytes, or ids without text
+            out, run = [], bytearray()
+            for i in ids:
+                if i in self.byte_of:
+                    run.append(self.byte_of[i])
+                    continue
+                if run:
+                    out.append(utf8(run))
+                    run = bytearray()
+                out.append(text_of.get(i, ""))
             if run:
                 out.append(utf8(run))
-                run = bytearray()
-            out.append(self.text_of.get(i, ""))
-        if run:
-            out.append(utf8(run))
         text = "".join(out)
         if first and text.startswith(SPACE):
             text = text[1:]
@@ -233,47 +253,73 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+#: What is kept of a part: the decimal form of its ids, and the text they decode to unless it is the part as it reads.
+Kept = str | tuple[str, str]
+
+
+def _kept(ids: str, decoded: str, part: str) -> Kept:
+    return ids if decoded == part.replace(SPACE, " ") else (ids, decoded)
+
+
+def _unfolded(kept: list[Kept], parts: list[str]) -> tuple[str, str]:
+    """The decimal form of the ids of parts, and the text they decode to."""
+    both = [(k, p.replace(SPACE, " ")) if isinstance(k, str) else k for k, p in zip(kept, parts)]
+    return " ".join([ids for ids, _ in both]), "".join([decoded for _, decoded in both])
+
+
 @functools.lru_cache(maxsize=2)
 def _parts(path: str) -> Cache:
-    """For a part: the number of its ids, their decimal form, the text they decode to, and the ids in 4 bytes each."""
+    """What is kept of a part; that of parts with one space before them is in ``_words``."""
     c = codec(path)
 
-    def compute(part: str):
+    def compute(part: str) -> Kept:
         ids = c.part_ids(part)
-        return len(ids), " ".join(map(str, ids)), c.decode(ids, first=False), np.array(ids, "<i4").tobytes()
+        return _kept(" ".join(map(str, ids)), c.decode(ids, first=False), part)
 
     return Cache(compute, CACHE_PARTS)
 
 
 @functools.lru_cache(maxsize=2)
 def _words(path: str) -> Cache:
-    """The same for a word with a space before it."""
-    find, parts = codec(path).parts.findall, _parts(path)
+    """The same for a word with a space before it; its first part is a word, too."""
+    parts = _parts(path)
+    find = codec(path).parts.findall
 
-    def compute(word: str):
-        known = [parts[part] for part in find(SPACE + word)]
-        return sum([k[0] for k in known]), " ".join([k[1] for k in known]), "".join([k[2] for k in known]), b"".join([k[3] for k in known])
+    def compute(word: str) -> Kept:
+        found = find(SPACE + word)
+        if len(found) == 1:
+            return parts.compute(found[0])
+        return _kept(*_unfolded([words[found[0][1:]], *[parts[p] for p in found[1:]]], found), SPACE + word)
 
-    return Cache(compute, CACHE_WORDS)
+    words = Cache(compute, CACHE_WORDS)
+    return words
 
 
-def _coded(path: str, text: str) -> list[tuple]:
-    """The parts of a text as ``_parts`` has them, a word each where spaces are single."""
+def _joined(path: str, text: str) -> tuple[str, str]:
+    """The decimal form of a text's ids, the end id last, and the text they decode to."""
+    c, words = codec(path), _words(path)
     if not text:
-        return []
+        return str(c.end_id), ""
     if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-        parts = _parts(path)
-        return [parts[p] for p in codec(path).split(text)]
-    known = _words(path)
-    return [known[w] for w in text.split(" ")]
-
-
-def _id_lists(path: str, coded: list[list[tuple]]) -> pa.Array:
-    """Lists of ids, the end id last, without an object for each id."""
-    end = np.array([codec(path).end_id], "<i4").tobytes()
-    raw = [b"".join([p[3] for p in parts]) + end for parts in coded]
-    offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+        parts, others = c.split(text), _parts(path)
+        kept = [words[p[1:]] if p[0] == SPACE != p[1:2] else others[p] for p in parts]
+    else:
+        parts = text.split(" ")
+        kept = list(map(words.__getitem__, parts))
+        if tuple in set(map(type, kept)):
+            parts = [SPACE + p for p in parts]
+    if tuple in set(map(type, kept)):
+        ids, decoded = _unfolded(kept, parts)
+        decoded = decoded[1:]
+    else:
+        ids, decoded = " ".join(kept), text.replace(SPACE, " ")
+    return f"{ids} {c.end_id}", decoded
+
+
+def _id_lists(joined: list[str]) -> pa.Array:
+    """Lists of ids from their decimal forms, without an object for each id."""
+    offsets = np.concatenate([[0], np.cumsum([ids.count(" ") + 1 for ids in joined])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromstring(" ".join(joined), np.int32, sep=" ")))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -281,8 +327,8 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") ->
 
     def run(batches):
         for batch in batches:
-            coded = [_coded(path, t) for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists(path, coded)], ["key", "ids"])
+            joined = [_joined(path, t)[0] for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists(joined)], ["key", "ids"])
 
     bound_batches(df.sparkSession)
     return df.select(key, text).mapInArrow(run, f"key {dict(df.dtypes)[key]}, ids array<int>").withColumnRenamed("key", key)
@@ -305,18 +351,15 @@ def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
     """(key, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded in one pass; ids too where asked."""
 
     def run(batches):
-        end = str(codec(path).end_id)
         for batch in batches:
-            counts, ids_hex, text_hex = [], [], []
-            coded = [_coded(path, t) for t in texts(batch.column(1))]
-            for parts in coded:
-                counts.append(sum([p[0] for p in parts]) + 1)
-                ids_hex.append(hashlib.sha256(" ".join([p[1] for p in parts] + [end]).encode()).hexdigest())
-                text_hex.append(hashlib.sha256("".join([p[2] for p in parts])[1:].encode()).hexdigest())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
+            joined = [_joined(path, t) for t in texts(batch.column(1))]
+            counts = pa.array([ids.count(" ") + 1 for ids, _ in joined], pa.int64())
+            ids_hex = pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in joined], pa.string())
+            text_hex = pa.array([hashlib.sha256(decoded.encode()).hexdigest() for _, decoded in joined], pa.string())
+            columns = [batch.column(0), counts, ids_hex, text_hex]
             names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns, names = [*columns, _id_lists(path, coded)], [*names, "ids"]
+                columns, names = [*columns, _id_lists([ids for ids, _ in joined])], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     bound_batches(df.sparkSession)

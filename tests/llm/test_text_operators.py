@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import string
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -47,6 +49,44 @@ def test_neighbours_fit_if_and_only_if_merging_keeps_them():
         assert own.compatible(a, b) == (own.merge(a + b)[0] == [a, b])
 
 
+def test_chains_of_shorter_pieces_are_walked_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    own = sentencepiece_bpe.PieceCodec(PIECES)
+    own.shorter = Counted(own.shorter)
+    parts = ["▁ndernt", "▁oredat", "▁hablees", "▁Rerest", "▁aubersch"]
+    first = [own.pieces(p) for p in parts]
+    walked, own.shorter.asked = own.shorter.asked, 0
+    assert [own.pieces(p) for p in parts] == first == [own.merge(p)[0] for p in parts]
+    assert 2 * own.shorter.asked < walked
+
+
+def test_what_is_kept_of_words_is_small():
+    words, rng = sentencepiece_bpe._words(PIECES), random.Random(3)
+    made = ["".join(rng.choices(string.ascii_lowercase, k=9)) for _ in range(5000)]
+    words["warm"]
+    tracemalloc.start()
+    try:
+        for w in made:
+            words[w]
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 800 * len(made)  # with the pairs of pieces that were checked
+
+
+def test_words_that_decode_to_other_text():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for t in ["▁", "a▁b", " ", "  ", "a  b", " a", "a ", "x ▁ y", "the the", "the,  the,", "\U0001f600 ☃☃", "▁▁ \U0001f600", "a\n b", "\x00 \x00"]:
+        ids = model.encode(t, add_eos=True)
+        assert sentencepiece_bpe._joined(PIECES, t) == (" ".join(map(str, ids)), model.decode(ids)), repr(t)
+
+
 def test_round_trip(odd_documents, sample):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for df in (odd_documents, sample):
