@@ -1,10 +1,14 @@
-"""Shared pieces: tables in the shared folder, bounded Arrow batches, prefix sums, components."""
+"""Shared pieces: tables in the shared folder, bounded Arrow batches and caches, prefix sums, components."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +75,37 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_kept_in_worker: list = []
+_at_work: str | None = None
+
+
+def worker_cache(compute: Callable) -> Callable:
+    """``functools.lru_cache`` for what a Python worker keeps from task to task, until ``begin`` of another operator."""
+    cached = functools.lru_cache(maxsize=2)(compute)
+    _kept_in_worker.append(cached)
+    return cached
+
+
+def begin(operator: str, *caches: Callable) -> None:
+    """For the start of a task in a Python worker: empty the caches that aren't this operator's, if another one was at work.
+
+    Workers serve one stage after another, so without this each would hold what all
+    operators keep. What is free then goes back to the system.
+    """
+    global _at_work
+    if operator == _at_work:
+        return
+    _at_work = operator
+    for cached in _kept_in_worker:
+        if cached not in caches:
+            cached.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 class Cache(dict):
     """A dict of bounded size that computes what is missing.
 

@@ -20,7 +20,6 @@ texts may have any length; other columns aren't read.
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import Cache, bound_batches, materialise, raw_texts
+from credence.llm.common import Cache, begin, bound_batches, materialise, raw_texts, worker_cache
 
 #: Buckets of hashed n-grams, added counts, seed of the noise, most labelled rows, and how much more a lost good row costs.
 BUCKETS, SMOOTHING, SEED, MOST_LABELLED, GOOD_COST = 1 << 14, 1.0, 5, 20_000, 5.0
@@ -37,7 +36,7 @@ CACHE_WORDS = 200_000
 TOKEN = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff]+")
 
 
-@functools.lru_cache(maxsize=1)
+@worker_cache
 def _words() -> Cache:
     """The hashes of a word's tokens (letters and digits, or marks), 4 bytes each."""
     return Cache(lambda w: np.array([xxhash.xxh32_intdigest(t) for t in TOKEN.findall(w)], "<u4").tobytes(), CACHE_WORDS)
@@ -55,6 +54,7 @@ def fit(df: DataFrame, good: set, text: str = "text", key: str = "doc_id", n: in
     """Log ratio of the target's and the corpus's smoothed share of each bucket; counts cover all rows."""
 
     def run(batches):
+        begin("importance", _words)
         raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
@@ -82,6 +82,7 @@ def weigh(df: DataFrame, ratio: np.ndarray, text: str = "text", key: str = "doc_
     more = [row] if row else []
 
     def run(batches):
+        begin("importance", _words)
         for batch in batches:
             found = [buckets(t, n) for t in raw_texts(batch.column(1))]
             counts = [pa.array([len(b) for b in found], pa.int64()), pa.array([float(ratio[b].sum()) for b in found], pa.float64())]

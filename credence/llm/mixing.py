@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from credence.llm.common import WORD, bound_batches, buckets_of, exclusive_offsets, materialise, word_count
+from credence.llm.common import WORD, begin, bound_batches, buckets_of, exclusive_offsets, materialise, word_count
 
 WEIGHTS, SHARE, CEILING, SEED = (5, 2, 1), 1.5, 2.0, 7
 #: Words in a block and in a shard.
@@ -240,6 +240,7 @@ def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: s
     at = names.index(text_)
 
     def cut(batches):
+        begin("mixing")
         for batch in batches:
             given, first, words, sizes = (batch.column(i).to_pylist() for i in (at, *range(len(names), len(names) + 3)))
             out = pa.array([t if w == n else part(t, a, w) for t, a, w, n in zip(given, first, words, sizes)], pa.string())

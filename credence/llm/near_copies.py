@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import bound_batches, connected_components, materialise, raw_texts, release
+from credence.llm.common import begin, bound_batches, connected_components, materialise, raw_texts, release
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, MINIMA = 40, 6
@@ -77,6 +77,7 @@ def sketches(df: DataFrame, text: str, key: str, simhash_of: Callable[[list[byte
     """(node, digest, n, fp, bands) of every row: digest of its words; number, fingerprint and bands of its shingles."""
 
     def run(batches):
+        begin("near_copies")
         for batch in batches:
             digest, n, prints, found = [], [], [], []
             for raw in raw_texts(batch.column(1)):
@@ -108,6 +109,7 @@ def shingle_sets(df: DataFrame, keys: DataFrame, text: str, key: str, width: int
     marked = np.packbits(marks(keys))
 
     def run(batches):
+        begin("near_copies")
         known = np.unpackbits(marked).view(bool)
         for batch in batches:
             some = batch.filter(pa.array(known[batch.column(2).to_numpy()]))
@@ -188,6 +190,7 @@ def in_blocks(still: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     each = each.select("band", F.least("part", "_other").alias("one"), F.greatest("part", "_other").alias("two"), "part", "node", "label").join(sets, "node")
 
     def run(pdf):
+        begin("near_copies")
         left, right = (pdf[pdf["part"] == pdf[side].iloc[0]] for side in ("one", "two"))
         a, b = ([np.asarray(x) for x in side["hashes"]] for side in (left, right))
         if pdf["label"].nunique() < 2 or not a or not b:

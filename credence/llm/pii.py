@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from credence.llm.bilstm_crf import BiLstmCrf
-from credence.llm.common import bound_batches, texts
+from credence.llm.common import begin, bound_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -313,6 +313,7 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", train: tuple[in
     model = tagger(train)
 
     def run(batches):
+        begin("pii")
         for batch in batches:
             found = find(texts(batch.column(1)), model)
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
@@ -334,6 +335,7 @@ def redact(df: DataFrame, text: str = "text", train: tuple[int, int, int] = TRAI
     at = names.index(text)
 
     def run(batches):
+        begin("pii")
         for batch in batches:
             given = batch.column(at).to_pylist()
             out = []

@@ -18,7 +18,6 @@ is read, so clashing names don't matter.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 
@@ -26,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from credence.llm.common import Cache, bound_batches, texts
+from credence.llm.common import Cache, begin, bound_batches, texts, worker_cache
 
 SPACE = "▁"
 #: Entries of the caches in each Python worker.
@@ -247,7 +246,7 @@ def utf8(run: bytes) -> str:
     return "".join(out)
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache
 def codec(path: str) -> PieceCodec:
     """The codec of a model file; one for each worker."""
     return PieceCodec(path)
@@ -267,7 +266,7 @@ def _unfolded(kept: list[Kept], parts: list[str]) -> tuple[str, str]:
     return " ".join([ids for ids, _ in both]), "".join([decoded for _, decoded in both])
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache
 def _parts(path: str) -> Cache:
     """What is kept of a part; that of parts with one space before them is in ``_words``."""
     c = codec(path)
@@ -279,7 +278,7 @@ def _parts(path: str) -> Cache:
     return Cache(compute, CACHE_PARTS)
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache
 def _words(path: str) -> Cache:
     """The same for a word with a space before it; its first part is a word, too."""
     parts = _parts(path)
@@ -326,6 +325,7 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") ->
     """(key, ids): the ids of every text, the end id last."""
 
     def run(batches):
+        begin("sentencepiece_bpe", codec, _parts, _words)
         for batch in batches:
             joined = [_joined(path, t)[0] for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists(joined)], ["key", "ids"])
@@ -338,6 +338,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> D
     """(key, text): the text of every list of ids; null gives an empty text."""
 
     def run(batches):
+        begin("sentencepiece_bpe", codec, _parts, _words)
         c = codec(path)
         for batch in batches:
             out = [c.decode(x or []) for x in batch.column(1).to_pylist()]
@@ -351,6 +352,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
     """(key, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded in one pass; ids too where asked."""
 
     def run(batches):
+        begin("sentencepiece_bpe", codec, _parts, _words)
         for batch in batches:
             joined = [_joined(path, t) for t in texts(batch.column(1))]
             counts = pa.array([ids.count(" ") + 1 for ids, _ in joined], pa.int64())

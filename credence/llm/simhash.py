@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from credence.llm import near_copies
-from credence.llm.common import bound_batches, connected_components, materialise, raw_texts, release
+from credence.llm.common import begin, bound_batches, connected_components, materialise, raw_texts, release
 
 SHINGLE, SEED = 3, 42
 #: Shingles whose bits are counted at a time.
@@ -63,6 +63,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     """(key, fp) of every row."""
 
     def run(batches):
+        begin("simhash")
         for batch in batches:
             fp = [fingerprint(t) for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["key", "fp"])

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from credence.llm.common import bound_batches, texts
+from credence.llm.common import begin, bound_batches, texts, worker_cache
 
 # How many ids of which width a word holds, by selector. The last selector is the escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -230,7 +230,7 @@ class TextEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache
 def encoder(path: str, end_id: int) -> TextEncoder:
     return TextEncoder(path, end_id)
 
@@ -239,6 +239,7 @@ def write_token_files(df: DataFrame, out: str, path: str, end_id: int = 0, text:
     """Encode every text and write the segments, in ascending key order, below ``out``."""
 
     def run(batches):
+        begin("token_binary", encoder)
         pid = TaskContext.get().partitionId()
         seq = 0
         for batch in batches:

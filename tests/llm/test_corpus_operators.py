@@ -6,13 +6,14 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from credence.llm import common, importance, mixing, near_copies, simhash, tree_forest, warc_fixity
-from credence.llm.registry import ORACLES, QUERIES
+from credence.llm import common, importance, mixing, near_copies, sentencepiece_bpe, simhash, tree_forest, warc_fixity
+from credence.llm.registry import ORACLES, QUERIES, tokenizer
 
 SF = "/root/testdata/sf0.001"
 
@@ -499,6 +500,36 @@ def test_query_equals_sql(spark, name):
     assert sorted(tuple(str(r[c]) for c in columns) for r in df.collect()) == expected
 
 
+def test_workers_keep_the_caches_of_one_operator(spark):
+    df = spark.createDataFrame([(i, f"words of text {i}") for i in range(64)], "doc_id long, text string").repartition(16).cache()
+
+    def held(batches):
+        from credence.llm import importance, sentencepiece_bpe
+
+        for batch in batches:
+            both = importance._words.cache_info().currsize and sentencepiece_bpe._words.cache_info().currsize
+            yield pa.RecordBatch.from_arrays([pa.array([int(bool(both))], pa.int64())], ["both"])
+
+    importance.weigh(df, np.zeros(importance.BUCKETS)).collect()
+    sentencepiece_bpe.round_trip(df, tokenizer("piece_bpe_32k.model")).collect()
+    assert {r["both"] for r in df.mapInArrow(held, "both long").collect()} == {0}
+
+
+def test_begin_empties_the_caches_of_others(monkeypatch):
+    monkeypatch.setattr(common, "_at_work", None)
+    one, two = common.worker_cache(lambda k: [k]), common.worker_cache(lambda k: [k])
+    try:
+        common.begin("one", one)
+        first = one(1)
+        common.begin("one", one)
+        assert one(1) is first
+        common.begin("two", two)
+        assert not one.cache_info().currsize and two(1) is two(1)
+    finally:
+        common._kept_in_worker.remove(one)
+        common._kept_in_worker.remove(two)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names, columns, start = [], docs.columns, docs
