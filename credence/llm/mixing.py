@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from credence.llm.common import WORD, begin, bound_batches, buckets_of, exclusive_offsets, materialise, word_count
@@ -237,18 +238,21 @@ def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: s
     place = F.xxhash64(F.lit(seed), "id", "copy", "pass", "first")
     sizes = pieces.join(rows.select("id", "size"), "id").select("id", "shard", place.alias("_place"), "first", "words", "size")
     joined = one.join(sizes, F.col("_id") == F.col("id")).select(*names, "first", "words", "size", F.col("shard").alias("_shard"), "_place")
-    at = names.index(text_)
+    at, last = names.index(text_), len(names)
+    placed = StructType([*given.schema.fields, StructField("_shard", LongType()), StructField("_place", LongType())])
 
     def cut(batches):
         begin("mixing")
         for batch in batches:
-            given, first, words, sizes = (batch.column(i).to_pylist() for i in (at, *range(len(names), len(names) + 3)))
-            out = pa.array([t if w == n else part(t, a, w) for t, a, w, n in zip(given, first, words, sizes)], pa.string())
-            yield pa.RecordBatch.from_arrays([out if i == at else batch.column(i) for i in range(len(names))], names)
+            texts, first, words, sizes = (batch.column(i).to_pylist() for i in (at, *range(last, last + 3)))
+            out = pa.array([t if w == n else part(t, a, w) for t, a, w, n in zip(texts, first, words, sizes)], pa.string())
+            columns = [out if i == at else batch.column(i) for i in (*range(last), last + 3, last + 4)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "_shard", "_place"])
 
     bound_batches(df.sparkSession)
-    ordered = joined.repartition("_shard").sortWithinPartitions("_shard", "_place")
-    return ordered.mapInArrow(cut, given.schema).toDF(*df.columns)
+    # Texts are cut before they move to their shards, so that only their parts do.
+    moved = joined.mapInArrow(cut, placed).repartition("_shard").sortWithinPartitions("_shard", "_place")
+    return moved.select(*names).toDF(*df.columns)
 
 
 WORDS = re.compile(WORD.encode())

@@ -312,6 +312,11 @@ def test_mixed_rows(odd_documents, sample, block):
     assert mixing.mixed_rows(sample.limit(0)).isEmpty()
 
 
+def test_texts_are_cut_before_they_move_to_shards(sample):
+    plan = mixing.mixed_rows(sample)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("RepartitionByExpression [_shard") < plan.index("MapInArrow")
+
+
 def test_parts_of_a_text():
     text = " a  b\tcé d\n "
     assert mixing.part(text, 0, 2) == " a  b" and mixing.part(text, 2, 2) == "cé d\n " and mixing.part(text, 1, 1) == "b"
