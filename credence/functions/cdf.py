@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from statistics import NormalDist
 
 import pandas as pd
@@ -15,34 +16,54 @@ def sigma_to_cp(k: float) -> float:
     return 0.5 + 0.5 * math.erf(k / math.sqrt(2))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once.
+
+    A column that a lambda names is put there with all that makes it, such as the sort of
+    a packed cdf, and would be worked out anew for each element.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def complete(cdf: Column) -> Column:
     """The highest value takes the probability that is left."""
-    last = F.size(cdf) - 1
-    return F.transform(cdf, lambda p, i: F.struct(F.when(i == last, F.lit(1.0)).otherwise(p["cp"]).alias("cp"), p["v"].alias("v")))
+
+    def of(c: Column) -> Column:
+        return bound(F.size(c) - 1, lambda last: F.transform(c, lambda p, i: F.struct(F.when(i == last, F.lit(1.0)).otherwise(p["cp"]).alias("cp"), p["v"].alias("v"))))
+
+    return bound(cdf, of)
 
 
 def masses(cdf: Column) -> Column:
     """Array of (lo, hi, v): the slice of probability that each value has, from a complete cdf; empty slices are left out."""
-    cut = F.transform(cdf, lambda p, i: F.struct(F.when(i == 0, F.lit(0.0)).otherwise(F.get(cdf, i - 1)["cp"]).alias("lo"), p["cp"].alias("hi"), p["v"].alias("v")))
-    return F.filter(cut, lambda p: p["hi"] > p["lo"])
+
+    def of(c: Column) -> Column:
+        cut = F.transform(c, lambda p, i: F.struct(F.when(i == 0, F.lit(0.0)).otherwise(F.get(c, i - 1)["cp"]).alias("lo"), p["cp"].alias("hi"), p["v"].alias("v")))
+        return F.filter(cut, lambda p: p["hi"] > p["lo"])
+
+    return bound(cdf, of)
 
 
 def value_at(cdf: Column, cp: float) -> Column:
     """The first point with at least a cumulative probability, else the last one."""
-    there = F.filter(cdf, lambda p: p["cp"] >= F.lit(cp))
-    return F.coalesce(F.get(there, F.lit(0)), F.element_at(cdf, -1))
+    there = lambda c: F.filter(c, lambda p: p["cp"] >= F.lit(cp))
+    return bound(cdf, lambda c: F.coalesce(F.get(there(c), F.lit(0)), F.element_at(c, -1)))
 
 
 def mean_uniform(cdf: Column) -> Column:
     """The mean where values between points are equally likely; the rest lies on the first and the last value."""
-    n = F.size(cdf)
-    inner = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        F.lit(0.0),
-        lambda total, i: total + F.coalesce((F.get(cdf, i)["cp"] - F.get(cdf, i - 1)["cp"]) * (F.get(cdf, i)["v"] + F.get(cdf, i - 1)["v"]) / 2, F.lit(0.0)),
-    )
-    first, last = F.element_at(cdf, 1), F.element_at(cdf, -1)
-    return F.when(n == 1, first["v"]).otherwise(first["cp"] * first["v"] + inner + (1 - last["cp"]) * last["v"])
+
+    def of(c: Column) -> Column:
+        n = F.size(c)
+        inner = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+            F.lit(0.0),
+            lambda total, i: total + F.coalesce((F.get(c, i)["cp"] - F.get(c, i - 1)["cp"]) * (F.get(c, i)["v"] + F.get(c, i - 1)["v"]) / 2, F.lit(0.0)),
+        )
+        first, last = F.element_at(c, 1), F.element_at(c, -1)
+        return F.when(n == 1, first["v"]).otherwise(first["cp"] * first["v"] + inner + (1 - last["cp"]) * last["v"])
+
+    return bound(cdf, of)
 
 
 def mean_discrete(cdf: Column) -> Column:
@@ -57,20 +78,24 @@ def mean(cdf: Column, distribution: str = "uniform") -> Column:
 
 def cp_at_uniform(cdf: Column, value: Column) -> Column:
     """The cumulative probability of a value, interpolated between points."""
-    n = F.size(cdf)
-    last = F.element_at(cdf, -1)
-    inside = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        F.lit(None).cast("double"),
-        lambda found, i: F.coalesce(
-            found,
-            F.when(
-                (value >= F.get(cdf, i - 1)["v"]) & (value < F.get(cdf, i)["v"]),
-                F.get(cdf, i - 1)["cp"] + (F.get(cdf, i)["cp"] - F.get(cdf, i - 1)["cp"]) * (value - F.get(cdf, i - 1)["v"]) / (F.get(cdf, i)["v"] - F.get(cdf, i - 1)["v"]),
+
+    def of(c: Column, x: Column) -> Column:
+        n = F.size(c)
+        last = F.element_at(c, -1)
+        inside = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+            F.lit(None).cast("double"),
+            lambda found, i: F.coalesce(
+                found,
+                F.when(
+                    (x >= F.get(c, i - 1)["v"]) & (x < F.get(c, i)["v"]),
+                    F.get(c, i - 1)["cp"] + (F.get(c, i)["cp"] - F.get(c, i - 1)["cp"]) * (x - F.get(c, i - 1)["v"]) / (F.get(c, i)["v"] - F.get(c, i - 1)["v"]),
+                ),
             ),
-        ),
-    )
-    return F.when((n == 1) | (value >= last["v"]), F.lit(1.0)).otherwise(F.coalesce(inside, F.lit(0.0)))
+        )
+        return F.when((n == 1) | (x >= last["v"]), F.lit(1.0)).otherwise(F.coalesce(inside, F.lit(0.0)))
+
+    return bound(cdf, lambda c: bound(value, lambda x: of(c, x)))
 
 
 def _normal_of(cp1: pd.Series, v1: pd.Series, cp2: pd.Series, v2: pd.Series) -> pd.DataFrame:
