@@ -34,3 +34,8 @@ def test_part_of_a_large_belief(spark, soon):
     packed = propagate.pack(belief(spark)).withColumn("cdf", C.partial(C.complete(F.col("cdf")), F.lit(0.25), F.lit(0.75)))
     row = propagate.unpack(packed).agg(F.count("*"), F.min("event_value"), F.max("event_value"), F.max("cumulative_probability")).first()
     assert tuple(row) == (N // 2, N / 4, 3 * N / 4 - 1, pytest.approx(1.0))
+
+
+def test_large_belief_as_one_value(spark, soon):
+    row = scoring.make_deterministic(belief(spark)).first()
+    assert row["event_value"] == pytest.approx((N - 1) ** 2 / (2 * N)) and row["cumulative_probability"] == pytest.approx((row["event_value"] + 1) / N)
