@@ -39,3 +39,8 @@ def test_part_of_a_large_belief(spark, soon):
 def test_large_belief_as_one_value(spark, soon):
     row = scoring.make_deterministic(belief(spark)).first()
     assert row["event_value"] == pytest.approx((N - 1) ** 2 / (2 * N)) and row["cumulative_probability"] == pytest.approx((row["event_value"] + 1) / N)
+
+
+def test_mean_of_a_large_belief(spark, soon):
+    row = propagate.pack(belief(spark)).select(C.mean(F.col("cdf"), "discrete").alias("v")).first()
+    assert row["v"] == pytest.approx((N - 1) / 2)
