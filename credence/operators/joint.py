@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from credence.functions import cdf as C
 
 #: Values of a joint distribution up to which it is exact; beyond that it is drawn.
 SUPPORT, DRAWS, SEED = 4096, 1000, 17
+#: Values of the first of two events that one row pairs with all of the second, and pairs that are held at once.
+BLOCK, PAIRS = 4096, 1 << 20
+#: Cells of a decimal grid, and the last bits on either side of a place that have a cell of their own.
+CELLS, NEAR = 1 << 23, 4
 
 
 def convolve(a: Column, b: Column) -> Column:
@@ -104,16 +111,93 @@ def joint_of_groups(packed: DataFrame, keys: list[str], mean: bool = True) -> Da
     return sure.unionByName(spread)
 
 
+def _by_grid(av: np.ndarray, ap: np.ndarray, bv: np.ndarray, bp: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(v, p) of (a + b) / n over all pairs where the values lie on a decimal grid; None where they don't, or the grid is too wide.
+
+    A cell is a place on the grid and the distance from its double in last bits, so sums
+    share a cell only where they are the same double.
+    """
+    both = np.concatenate([av, bv])
+    if not np.isfinite(both).all() or ap.min() * bp.min() <= 0:
+        return None
+    top = np.abs(both).max()
+    for unit in (1.0, 10.0, 100.0, 1e3, 1e4):
+        if top * unit < 2**40 and np.all(np.abs(both * unit - np.rint(both * unit)) < 1e-3):
+            break
+    else:
+        return None
+    i, j = np.rint(av * unit).astype(np.int64), np.rint(bv * unit).astype(np.int64)
+    low, cells = i.min() + j.min(), (i.max() + j.max() - i.min() - j.min() + 1) * (2 * NEAR + 1)
+    if cells > min(CELLS, 4 * len(i) * len(j)):
+        return None
+    base = (np.arange(low, low + cells // (2 * NEAR + 1)) / unit / n).view(np.int64)
+    sums, step = np.zeros(cells), max(1, PAIRS // len(bv))
+    j = j - low
+    for k in range(0, len(av), step):
+        at = (i[k : k + step, None] + j).ravel()
+        near = ((av[k : k + step, None] + bv) / n).ravel().view(np.int64) - base[at]
+        if near.min() < -NEAR or near.max() > NEAR:
+            return None
+        sums += np.bincount(at * (2 * NEAR + 1) + (near + NEAR), weights=np.outer(ap[k : k + step], bp).ravel(), minlength=cells)
+    there = np.flatnonzero(sums)
+    return (base[there // (2 * NEAR + 1)] + there % (2 * NEAR + 1) - NEAR).view(np.float64), sums[there]
+
+
+def pair_sums(av: np.ndarray, ap: np.ndarray, bv: np.ndarray, bp: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts (v, p) of the distribution of (a + b) / n; a part has each value once, and at most PAIRS or CELLS of them."""
+    if not len(av) or not len(bv):
+        return
+    by_grid = _by_grid(av, ap, bv, bp, n)
+    if by_grid is not None:
+        yield by_grid
+        return
+    step = max(1, PAIRS // len(bv))
+    for k in range(0, len(av), step):
+        v, at = np.unique(((av[k : k + step, None] + bv) / n).ravel(), return_inverse=True)
+        yield v, np.bincount(at.ravel(), weights=np.outer(ap[k : k + step], bp).ravel(), minlength=len(v))
+
+
 def joint_of_two(packed: DataFrame, keys: list[str], mean: bool = True) -> DataFrame:
-    """The same without Python for groups of two events or one."""
+    """The same for groups of two events or one.
+
+    Every value of the one meets every value of the other, as sums of doubles are told apart
+    by their last bit. The one's values are dealt to tasks in blocks; pairs are added up
+    where they arise, and only distinct values leave a block.
+    """
     groups = packed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("event_start").alias("event_start"), F.transform(F.array_sort(F.collect_list(F.struct("event_start", "cdf"))), lambda e: e["cdf"]).alias("_cdfs"))
-    one = points(F.get("_cdfs", F.lit(0)))
-    two = F.when(F.size("_cdfs") > 1, points(F.get("_cdfs", F.lit(1)))).otherwise(F.array(F.struct(F.lit(0.0).alias("v"), F.lit(1.0).alias("p"))))
-    pairs = groups.withColumn("_a", one).withColumn("_b", two).select(*keys, "event_start", "n", F.explode("_a").alias("a"), "_b").select(*keys, "event_start", "n", "a", F.explode("_b").alias("b"))
-    value = (F.col("a.v") + F.col("b.v")) / (F.col("n") if mean else F.lit(1))
-    merged = pairs.select(*keys, "event_start", "n", value.alias("event_value"), (F.col("a.p") * F.col("b.p")).alias("p")).groupBy(*keys, "event_start", "n", "event_value").agg(F.sum("p").alias("p"))
+    sure = F.array(F.struct(F.lit(0.0).alias("v"), F.lit(1.0).alias("p")))
+    both = C.bound(F.col("_cdfs"), lambda c: F.struct(points(F.get(c, F.lit(0))).alias("a"), F.when(F.size(c) > 1, points(F.get(c, F.lit(1)))).otherwise(sure).alias("b")))
+    blocks = lambda a: F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(a, i, BLOCK))
+    names = [*keys, "event_start", "n"]
+    dealt = groups.select(*names, both.alias("_both")).select(*names, F.col("_both.b").alias("_b"), F.posexplode(C.bound(F.col("_both.a"), blocks)).alias("_i", "_a"))
+    spark = packed.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = dealt.repartition(tasks, *keys, "_i").select(*names, F.col("_a.v").alias("_av"), F.col("_a.p").alias("_ap"), F.col("_b.v").alias("_bv"), F.col("_b.p").alias("_bp"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch.slice(row, 1)
+                column = lambda c: own.column(c)[0].values.to_numpy(zero_copy_only=False).astype(float)
+                known = lambda c: own.column(c)[0].values.is_valid().to_numpy(zero_copy_only=False)
+                av, ap, bv, bp, a, b = column("_av"), column("_ap"), column("_bv"), column("_bp"), known("_av"), known("_bv")
+                for v, p in itertools.chain(_unknown(ap, bp, a, b), pair_sums(av[a], ap[a], bv[b], bp[b], own.column("n")[0].as_py() if mean else 1)):
+                    held = own.select(names).take(pa.array(np.zeros(len(p), dtype=np.int32)))
+                    yield pa.RecordBatch.from_arrays([*held.columns, pa.array(v, pa.float64()), pa.array(p)], [*names, "event_value", "p"])
+
+    schema = StructType([*dealt.select(*names).schema.fields, StructField("event_value", DoubleType()), StructField("p", DoubleType())])
+    # Dealt by the keys alone, which serves the sums and the window after them.
+    met = dealt.mapInArrow(meet, schema).repartition(tasks, *keys)
+    merged = met.groupBy(*names, "event_value").agg(F.sum("p").alias("p"))
     up = Window.partitionBy(*keys).orderBy("event_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return merged.select(*keys, "event_start", "n", F.sum("p").over(up).alias("cumulative_probability"), "event_value")
+    return merged.select(*names, F.sum("p").over(up).alias("cumulative_probability"), "event_value")
+
+
+def _unknown(ap: np.ndarray, bp: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[list, np.ndarray]]:
+    """The part of the pairs of which a value is unknown: none, or one null with their probability."""
+    if a.all() and b.all():
+        return []
+    return [([None], np.array([ap.sum() * bp.sum() - ap[a].sum() * bp[b].sum()]))]
 
 
 def equalize_bins(cdfs: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:

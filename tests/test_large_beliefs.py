@@ -44,3 +44,37 @@ def test_large_belief_as_one_value(spark, soon):
 def test_mean_of_a_large_belief(spark, soon):
     row = propagate.pack(belief(spark)).select(C.mean(F.col("cdf"), "discrete").alias("v")).first()
     assert row["v"] == pytest.approx((N - 1) / 2)
+
+
+def test_sums_of_pairs_are_told_apart_by_their_last_bit():
+    rng = np.random.default_rng(4)
+    cents = lambda n: np.unique(rng.integers(-3000, 3000, n)) / 100
+    cases = [(cents(900), cents(700)), (rng.normal(size=40), rng.normal(size=30)), (np.array([0.1, 0.2, 0.7]), np.array([0.0])), (np.round(cents(900) + 31, 2), np.round(cents(800) + 31, 2)), (np.array([np.nan, 1.0]), np.array([1.0, np.inf]))]
+    for a, b in cases:
+        p, q = rng.random(len(a)) + 0.1, rng.random(len(b)) + 0.1
+        for n in (1, 2):
+            expected = {}
+            for x, y in zip(a.tolist(), p):
+                for z, w in zip(b.tolist(), q):
+                    k = str((x + z) / n + 0.0)
+                    expected[k] = expected.get(k, 0.0) + y * w
+            found = {}
+            for v, m in joint.pair_sums(a, p, b, q, n):
+                for x, y in zip(v.tolist(), m):
+                    found[str(x + 0.0)] = found.get(str(x + 0.0), 0.0) + y
+            assert found == {k: pytest.approx(x) for k, x in expected.items()}
+    assert joint._by_grid(*cases[3][:1], np.ones(len(cases[3][0])), cases[3][1], np.ones(len(cases[3][1])), 2) is not None
+
+
+def test_mean_of_two_large_beliefs(spark, soon):
+    df = belief(spark).unionByName(belief(spark, day=1))
+    packed = propagate.pack(df, ("sensor", "source", "event_start")).withColumn("cdf", C.complete(F.col("cdf")))
+    row = joint.joint_of_two(packed, ["sensor", "source"]).agg(F.count("*"), F.max("event_value"), F.max("cumulative_probability"), F.max("n")).first()
+    assert tuple(row) == (2 * N - 1, N - 1, pytest.approx(1.0), 2)
+
+
+def test_unknown_values_in_pairs(spark):
+    data = [("g", DAY, [(0.5, None), (1.0, 2.0)]), ("g", DAY + timedelta(days=1), [(0.25, 1.0), (1.0, 3.0)]), ("h", DAY, [(0.25, 1.0), (1.0, 4.0)])]
+    df = spark.createDataFrame(data, "k string, event_start timestamp, cdf array<struct<cp:double,v:double>>")
+    found = {(r["k"], r["event_value"]): (r["n"], r["cumulative_probability"]) for r in joint.joint_of_two(df, ["k"]).collect()}
+    assert found == {("g", None): (2, 0.5), ("g", 1.5): (2, 0.625), ("g", 2.5): (2, 1.0), ("h", 1.0): (1, 0.25), ("h", 4.0): (1, 1.0)}
