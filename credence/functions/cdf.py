@@ -123,20 +123,74 @@ def partial(cdf: Column, lo: Column, hi: Column) -> Column:
     return F.transform(cut, lambda p: F.struct(((F.least(p["hi"], hi) - lo) / (hi - lo)).alias("cp"), p["v"].alias("v")))
 
 
+def _count(cuts: Column, steps: Column, holds: Callable[[Column], Column]) -> Column:
+    """How many masses, from the first on, a condition holds for that ends to hold once; found by halving."""
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        above = F.when(a["lo"] < a["hi"], F.coalesce(holds(F.get(cuts, mid)), F.lit(False)))
+        return F.when(above, F.struct((mid + 1).alias("lo"), a["hi"].alias("hi"))).when(~above, F.struct(a["lo"].alias("lo"), mid.alias("hi"))).otherwise(a)
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halve)["lo"]
+
+
+def _half_spread(weighed: Column) -> Column:
+    """Half the mean distance of two values drawn from (v, w), gap by gap of the ordered values: the weights on its sides multiply."""
+    start = F.struct(F.lit(0.0).alias("below"), F.lit(None).cast("double").alias("v"), F.lit(0.0).alias("sum"))
+
+    def of(ordered: Column, total: Column) -> Column:
+        gap = lambda a, p: (p["v"] - F.coalesce(a["v"], p["v"])) * a["below"] * (total - a["below"])
+        return F.aggregate(ordered, start, lambda a, p: F.struct((a["below"] + p["w"]).alias("below"), p["v"].alias("v"), (a["sum"] + gap(a, p)).alias("sum")))["sum"]
+
+    return bound(F.array_sort(weighed), lambda o: bound(F.aggregate(o, F.lit(0.0), lambda a, p: a + p["w"]), lambda total: of(o, total)))
+
+
+def _whole(cuts: Column, rising: bool) -> Column:
+    """Whether masses follow each other from 0 to 1 with finite values, which rise if asked."""
+
+    def fits(p: Column, i: Column) -> Column:
+        before = F.get(cuts, i - 1)
+        follows = (p["lo"] == before["hi"]) & (p["v"] >= before["v"]) if rising else p["lo"] == before["hi"]
+        return F.when(i == 0, p["lo"] == 0).otherwise(follows) & (F.abs(p["v"].cast("double")) < F.lit(math.inf))
+
+    return F.coalesce((F.get(cuts, F.size(cuts) - 1)["hi"] == 1) & F.forall(F.transform(cuts, fits), lambda x: x), F.lit(False))
+
+
+def _crps_in_one_pass(f: Column, r: Column) -> Column:
+    """The score of masses that are ``_whole``, the forecast's rising: down all places where either changes its value."""
+    place = lambda p, size: F.struct(p["hi"].cast("double").alias("at"), p["v"].cast("double").alias("v"), size.alias("size"))
+    places = F.sort_array(F.concat(F.transform(f, lambda p: place(p, F.lit(None).cast("double"))), F.transform(r, lambda p: place(p, (p["hi"] - p["lo"]).cast("double")))), asc=False)
+    last = lambda c: F.get(c, F.size(c) - 1)
+    state = lambda at, fv, rv, size, above, sum: F.struct(at.alias("at"), fv.alias("f"), rv.alias("r"), size.alias("size"), above.alias("above"), sum.alias("sum"))
+    start = state(F.lit(1.0), last(f)["v"].cast("double"), last(r)["v"].cast("double"), (last(r)["hi"] - last(r)["lo"]).cast("double"), F.lit(0.0), F.lit(0.0))
+
+    def down(a: Column, x: Column) -> Column:
+        here = a["above"] + a["at"] - x["at"]  # of the reference's slice, what lies above this place
+        sum = a["sum"] + (a["at"] - x["at"]) * F.abs(a["f"] - a["r"])
+        gap = F.abs(a["f"] - x["v"]) * here * (a["size"] - here) / a["size"]
+        return F.when(x["size"].isNull(), state(x["at"], x["v"], a["r"], a["size"], here, sum - gap)).otherwise(state(x["at"], a["f"], x["v"], x["size"], F.lit(0.0), sum))
+
+    return F.aggregate(places, start, down, lambda a: a["sum"] + a["at"] * F.abs(a["f"] - a["r"]))
+
+
 def crps(forecast: Column, reference: Column) -> Column:
     """Continuous ranked probability score of two complete cdfs, quantile by quantile of the reference.
 
     For each value of the reference, the forecast's distribution within the same slice of
-    probability is scored against it; the scores are weighted by the slices.
+    probability is scored against it; the scores are weighted by the slices. The work grows
+    as n log n with the points of both: in one pass where the forecast's values rise with
+    its probability, else each slice's part of it is found by halving.
     """
 
-    def slice_score(r: Column) -> Column:
-        weighed = F.transform(
-            F.filter(masses(forecast), lambda p: F.least(p["hi"], r["hi"]) > F.greatest(p["lo"], r["lo"])),
-            lambda p: F.struct(((F.least(p["hi"], r["hi"]) - F.greatest(p["lo"], r["lo"])) / (r["hi"] - r["lo"])).alias("w"), p["v"].alias("v")),
-        )
-        miss = F.aggregate(weighed, F.lit(0.0), lambda a, p: a + p["w"] * F.abs(p["v"] - r["v"]))
-        spread = F.aggregate(weighed, F.lit(0.0), lambda a, p: a + F.aggregate(weighed, F.lit(0.0), lambda b, q: b + p["w"] * q["w"] * F.abs(p["v"] - q["v"])))
-        return (miss - spread / 2) * (r["hi"] - r["lo"])
-
-    return F.aggregate(masses(reference), F.lit(0.0), lambda a, r: a + slice_score(r))
+    def slice_score(f: Column, steps: Column, r: Column) -> Column:
+        first, end = _count(f, steps, lambda p: p["hi"] <= r["lo"]), _count(f, steps, lambda p: p["lo"] < r["hi"])
+        part = bound(first, lambda k: F.slice(f, k + 1, F.greatest(end - k, F.lit(0))))
+        weight = lambda p: (F.least(p["hi"], r["hi"]) - F.greatest(p["lo"], r["lo"])) / (r["hi"] - r["lo"])
+        weighed = F.transform(part, lambda p: F.struct(p["v"].cast("double").alias("v"), weight(p).alias("w")))
+        miss = lambda w: F.aggregate(w, F.lit(0.0), lambda a, p: a + p["w"] * F.abs(p["v"] - r["v"]))
+        return bound(weighed, lambda w: miss(w) - _half_spread(w)) * (r["hi"] - r["lo"])
+
+    halvings = lambda f: F.sequence(F.lit(1), F.length(F.bin(F.size(f))))
+    by_halving = lambda f, r: bound(halvings(f), lambda steps: F.aggregate(r, F.lit(0.0), lambda a, x: a + slice_score(f, steps, x)))
+    score = lambda f, r: F.when(_whole(f, True) & _whole(r, False), _crps_in_one_pass(f, r)).otherwise(by_halving(f, r))
+    return bound(masses(forecast), lambda f: bound(masses(reference), lambda r: score(f, r)))

@@ -46,6 +46,37 @@ def test_mean_of_a_large_belief(spark, soon):
     assert row["v"] == pytest.approx((N - 1) / 2)
 
 
+def test_score_of_a_large_belief(spark, soon):
+    many = propagate.pack(belief(spark)).select(C.complete(F.col("cdf")).alias("f"), F.array(F.struct(F.lit(1.0).alias("cp"), F.lit(0.0).alias("v"))).alias("r"))
+    row = many.select(C.crps(F.col("f"), F.col("r")).alias("one"), C.crps(F.col("f"), F.col("f")).alias("same")).first()
+    assert row["one"] == pytest.approx((N - 1) / 2 - (N * N - 1) / (6 * N)) and row["same"] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_scores_equal_all_pairs(spark):
+    rng = np.random.default_rng(3)
+
+    def cdf(n):
+        cps = np.sort(rng.choice(np.arange(1, 20), n - 1)) / 20  # some twice: empty slices
+        return [(float(c), float(v)) for c, v in zip([*cps, 1.0], rng.integers(-9, 9, n))]  # values in any order
+
+    def masses(c):
+        return [(lo, hi, v) for lo, (hi, v) in zip([0.0, *(p for p, _ in c)], c) if hi > lo]
+
+    def score(f, r):
+        total = 0.0
+        for lo, hi, v in masses(r):
+            w = [((min(h, hi) - max(g, lo)) / (hi - lo), x) for g, h, x in masses(f) if min(h, hi) > max(g, lo)]
+            total += (hi - lo) * (sum(a * abs(x - v) for a, x in w) - sum(a * b * abs(x - y) for a, x in w for b, y in w) / 2)
+        return total
+
+    rising = lambda c: [(p, v) for (p, _), v in zip(c, sorted(v for _, v in c))]
+    data = [tuple(sorted(cdf(int(n))) for n in rng.integers(1, 9, 2)) for _ in range(60)]
+    data = data + [(rising(f), r) for f, r in data] + [([(1.0, None)], [(1.0, 1.0)]), ([(1.0, 1.0)], [(0.5, 2.0), (1.0, None)])]
+    df = spark.createDataFrame(data, "f array<struct<cp:double,v:double>>, r array<struct<cp:double,v:double>>")
+    found = [r[0] for r in df.select(C.crps(F.col("f"), F.col("r"))).collect()]
+    assert found == [*(pytest.approx(score(f, r), abs=1e-9) for f, r in data[:-2]), None, None]
+
+
 def test_sums_of_pairs_are_told_apart_by_their_last_bit():
     rng = np.random.default_rng(4)
     cents = lambda n: np.unique(rng.integers(-3000, 3000, n)) / 100
