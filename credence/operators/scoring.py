@@ -154,15 +154,17 @@ def accuracy_by_horizon(df: DataFrame, horizons: DataFrame | None = None, source
     micros = lambda c: F.unix_micros(F.lit(EPOCH).cast("timestamp") + F.col(c))
     count = lambda c: F.col(c).isNotNull().cast("long")
     sums = {"_crps": F.coalesce("crps", F.lit(0.0)), "_n": count("crps"), "_ratio": F.coalesce("ratio", F.lit(0.0)), "_m": count("ratio")}
-    begins = spans.select("source", (-micros("belief_horizon")).alias("_at"), *(v.alias(c) for c, v in sums.items()))
-    ends = spans.where("_newer is not null").select("source", (-micros("_newer")).alias("_at"), *((-v).alias(c) for c, v in sums.items()))
-    means = refs.groupBy("source").agg(F.avg("reference_value").alias("_mean"))
+    # Both ends of a span come from one row, so that a belief is scored once.
+    begin = F.struct((-micros("belief_horizon")).alias("_at"), *(v.alias(c) for c, v in sums.items()))
+    end = F.struct((-micros("_newer")).alias("_at"), *((-v).alias(c) for c, v in sums.items()))
+    moves = spans.select("source", F.explode(F.array(begin, end)).alias("_move")).select("source", "_move.*").where("_at is not null")
+    means = refs.groupBy("source").agg(F.avg("reference_value").alias("_mean"))  # a row for each source; sources are a dimension
     asked = df.select(F.col("belief_horizon").alias("horizon")).distinct() if horizons is None else horizons.select("horizon").distinct()
-    sources = refs.agg(F.collect_set("source").alias("_sources"))  # one row; sources are a dimension
-    asked = asked.crossJoin(sources).select("horizon", (-micros("horizon")).alias("_at"), F.explode("_sources").alias("source"))
-    moves = begins.unionByName(ends).unionByName(asked.select("source", "_at", "horizon"), allowMissingColumns=True)
-    at = moves.groupBy("source", "_at").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums), F.first("horizon", ignorenulls=True).alias("horizon"))
-    summed = running_sums(at, ["source"], "_at", list(sums), SPAN).where("horizon is not null").join(means, "source")
+    asked = asked.crossJoin(F.broadcast(means)).select("horizon", (-micros("horizon")).alias("_at"), "source", "_mean")
+    moves = moves.unionByName(asked.select("source", "_at"), allowMissingColumns=True)
+    at = moves.groupBy("source", "_at").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums))
+    # The asked horizons join again afterwards: running_sums reads ``at`` twice, and reads the same columns each time.
+    summed = running_sums(at, ["source"], "_at", list(sums), SPAN).join(asked, ["source", "_at"])
     mae = F.when(F.col("_n_sum") > 0, F.col("_crps_sum") / F.col("_n_sum"))
     if lite:
         return summed.select("horizon", "source", mae.alias("mae"), F.col("_mean").alias("reference_value"))

@@ -30,6 +30,12 @@ def belief(spark, horizon=0, shift=0.0, day=0):
     return spark.range(N).select(*keys, ((F.col("id") + 1) / N).alias("cumulative_probability"), (F.col("id") + shift).cast("double").alias("event_value"))
 
 
+def test_horizons_of_large_beliefs(spark, soon):
+    df = belief(spark).unionByName(belief(spark, 3, 1.0))
+    found = {r["horizon"]: r["mae"] for r in scoring.accuracy_by_horizon(df, probabilistic=True).collect()}
+    assert found == {timedelta(0): pytest.approx(0.0, abs=1e-9), timedelta(hours=3): pytest.approx(1.0)}
+
+
 def test_part_of_a_large_belief(spark, soon):
     packed = propagate.pack(belief(spark)).withColumn("cdf", C.partial(C.complete(F.col("cdf")), F.lit(0.25), F.lit(0.75)))
     row = propagate.unpack(packed).agg(F.count("*"), F.min("event_value"), F.max("event_value"), F.max("cumulative_probability")).first()
